@@ -22,14 +22,15 @@ from pyspark.sql import functions as F
 from .shared import materialize, remove
 
 N_SHARDS = 64
-BUCKETS = 256
+#: A source is split into 16 ** HEX_DIGITS atomic groups.
+HEX_DIGITS = 2
 PROBES = 32
 _BLOCK = 1 << 16
 
 
-def document_group(source: Column, doc_id: Column, buckets: int = BUCKETS) -> Column:
-    """Ordered group key: a source's documents lie together, split by a hash of the id."""
-    bucket = F.lpad(F.pmod(F.xxhash64(doc_id), F.lit(buckets)).cast("string"), len(str(buckets - 1)), "0")
+def document_group(source: Column, doc_id: Column, digits: int = HEX_DIGITS) -> Column:
+    """Ordered group key: a source's documents lie together, split by a hash of the id (a null id hashes as the empty string)."""
+    bucket = F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))), 1, digits)
     return F.concat(F.when(source.isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), source)), F.lit("/"), bucket)
 
 
@@ -148,6 +149,6 @@ def assign_shards(docs: DataFrame, group: Column, size: Column, n_shards: int =
     return docs.withColumn("shard_id", shard(key))
 
 
-def shard_documents(docs: DataFrame, n_shards: int = N_SHARDS, buckets: int = BUCKETS, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+def shard_documents(docs: DataFrame, n_shards: int = N_SHARDS, digits: int = HEX_DIGITS, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """assign_shards() over documents: groups by source and hash of the id, sizes in characters of the whole text."""
-    return assign_shards(docs, document_group(F.col(source_col).cast("string"), F.col(id_col), buckets), F.length(text_col), n_shards)
+    return assign_shards(docs, document_group(F.col(source_col).cast("string"), F.col(id_col), digits), F.length(text_col), n_shards)
