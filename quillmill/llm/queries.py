@@ -9,33 +9,58 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, langid, mixing, near_dedup, sharding
+from . import decontaminate, embedding_dedup, html_text, langid, mixing, near_dedup, sharding, substring_index, suffix_dedup, url_filter
 
 #: Target weights of sources: the hot one has four times the share of any other.
 WEIGHTS = {"src0": 4.0}
+BLOCKED_DOMAINS = ("spam-farm.example.org", "cheap-pills.example.com")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each page's URL is blocked, by the URLs of pages labelled toxic and two known domains."""
+    pages, labels = _table(spark, sf_dir, "pages"), _table(spark, sf_dir, "labels")
+    toxic = pages.join(labels.where("toxic = 1"), F.col("page_id") == F.col("doc_id"), "left_semi").select(F.col("url").alias("entry"))
+    known = spark.range(1).select(F.explode(F.array(*map(F.lit, BLOCKED_DOMAINS))).alias("entry"))
+    return url_filter.filter_urls(pages, url_filter.build(spark, toxic.union(known)))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark item that a document holds half of, or more."""
     return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op3_substring_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages that documents repeat of documents before them."""
+    return substring_index.incremental_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The shard of each document."""
     return sharding.shard_documents(_table(spark, sf_dir, "documents")).select("doc_id", "shard_id")
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of each page."""
+    return html_text.extract_text(_table(spark, sf_dir, "pages"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language, gap to the runner-up and ambiguity of each document."""
     docs = _table(spark, sf_dir, "documents")
     return langid.identify(docs, langid.train(docs))
 
 
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of near-duplicate embeddings."""
+    return embedding_dedup.near_pairs(_table(spark, sf_dir, "embeddings"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents served within the token budget, with their place in the stream."""
     return mixing.mix(_table(spark, sf_dir, "documents"), weights=WEIGHTS)
@@ -46,12 +71,22 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages that several documents share."""
+    return suffix_dedup.repeated_substrings(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filter": op1_url_filter,
     "op2_decontamination": op2_decontamination,
+    "op3_substring_index": op3_substring_index,
     "op4_sharding": op4_sharding,
+    "op5_html_extraction": op5_html_extraction,
     "op6_language_id": op6_language_id,
+    "op7_embedding_near_dedup": op7_embedding_near_dedup,
     "op8_mixing": op8_mixing,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 _MIXING_SQL = f"""
@@ -70,6 +105,30 @@ s AS (
 SELECT doc_id, source, n_tokens, finish, cum_tokens FROM s, b WHERE cum_tokens <= budget
 """
 
+_PARTS = "regexp_extract({0}, '^[ \\t]*(?:[A-Za-z][A-Za-z0-9+.-]*://)?(?:[^/?#@]*@)?([^/?#:]*)(?::[0-9]*)?([^#]*)', {1})"
+_HOST = "regexp_replace(lower(" + _PARTS.format("url", 1) + "), '^www[.]', '')"
+_URL_SQL = f"""
+WITH u AS (SELECT page_id, {_HOST} AS h, {_HOST} || regexp_replace({_PARTS.format("url", 2)}, '[/ \\t]+$', '') AS n FROM pages),
+r AS (
+  SELECT DISTINCT n AS rule FROM u WHERE n <> '' AND page_id IN (SELECT doc_id FROM labels WHERE toxic = 1)
+  UNION SELECT unnest({list(BLOCKED_DOMAINS)})),
+c AS (SELECT page_id, n AS cand, 0 AS o FROM u
+      UNION ALL
+      SELECT page_id, array_to_string(string_split(h, '.')[i:], '.'), i FROM (SELECT *, unnest(range(1, greatest(len(string_split(h, '.')) - 1, 1) + 1)) AS i FROM u)),
+m AS (SELECT page_id, arg_min(rule, o) AS rule FROM c JOIN r ON cand = rule GROUP BY page_id)
+SELECT page_id, rule IS NOT NULL AS blocked, rule FROM u LEFT JOIN m USING (page_id)
+"""
+
+_SIM = f"""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings WHERE embedding IS NOT NULL AND list_bool_or(list_transform(embedding, lambda x: x <> 0))),
+f AS (SELECT min(vec_id) AS id, e FROM v GROUP BY e),
+n AS (SELECT id, e, sqrt(list_inner_product(e, e)) AS l FROM f)
+SELECT f.id AS a, v.vec_id AS b, 1.0::DOUBLE AS cosine FROM f JOIN v USING (e) WHERE v.vec_id <> f.id
+UNION ALL
+SELECT x.id, y.id, round(list_inner_product(x.e, y.e) / (x.l * y.l), 6) FROM n x JOIN n y ON x.id < y.id
+WHERE list_inner_product(x.e, y.e) / (x.l * y.l) >= {embedding_dedup.MIN_COSINE}
+"""
+
 _WORD = "[0-9a-z\\x{80}-\\x{10FFFF}]+"
 _GRAMS = "CASE WHEN len(w) < 5 THEN [list_aggregate(w, 'string_agg', ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: list_aggregate(w[i:i+4], 'string_agg', ' ')) END"
 _DECONTAMINATION_SQL = f"""
@@ -113,7 +172,9 @@ SELECT doc_id, CAST(coalesce((SELECT max(shard) FROM cuts WHERE a < p.c), 0) AS
 """
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_url_filter": _URL_SQL,
     "op2_decontamination": _DECONTAMINATION_SQL,
     "op4_sharding": _SHARDING_SQL,
+    "op7_embedding_near_dedup": _SIM,
     "op8_mixing": _MIXING_SQL,
 }
