@@ -120,8 +120,7 @@ def _windows(batches, length: int, window: int, parts: int):
 
     for seg, ids, start, (h, second, near) in wn.segments(batches, values):
         rows, pos = wn.Rows(), np.flatnonzero(near)
-        ids = ids.astype(np.int64)
-        rows.add(-1, seg, wn.pack(ids), wn.pack(start))
+        rows.directory(seg, ids, start)
         doc = np.searchsorted(start, pos, side="right") - 1
         wn.split(rows, seg, wn.part_of(h[pos], parts), pos, [(h[pos], 8), (second[pos], 2), (ids[doc], 8)])
         yield rows.batch()
@@ -131,10 +130,8 @@ def verify(texts: DataFrame, places: DataFrame, parts: int, length: int = LENGTH
     """The repeated spans around candidate places (doc_id, pos) of texts (doc_id, __text)."""
     by_doc = places.groupBy("doc_id").agg(F.collect_set("pos").alias("places"))
     near = texts.join(by_doc.hint("merge"), "doc_id").select("doc_id", "__text", "places")
-    keyed, path = materialize(near.mapInArrow(lambda it: _windows(it, length, window, parts), wn.SCHEMA), "index-windows")
-    out, _ = materialize(wn.window_spans(keyed, length, (8, 2), later_only=True), "index-spans")
-    remove(texts.sparkSession, path)
-    return out
+    keyed = near.mapInArrow(lambda it: _windows(it, length, window, parts), wn.SCHEMA)
+    return materialize(wn.window_spans(keyed, length, (8, 2), later_only=True), "index-spans")[0]
 
 
 def incremental_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", length: int = LENGTH, window: int = PRINT, batches: int = BATCHES) -> DataFrame:

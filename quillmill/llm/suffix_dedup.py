@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from . import textkit as tk
 from . import windows as wn
-from .shared import materialize, remove
+from .shared import materialize
 
 #: Words of the initial buckets' q-gram.
 QGRAM = 25
@@ -44,7 +44,7 @@ def _initial(batches, q: int, parts: int):
 
     for seg, ids, start, (h, ok) in wn.segments(batches, values):
         rows, pos = wn.Rows(), np.flatnonzero(ok)
-        rows.add(-1, seg, wn.pack(ids.astype(np.int64)), wn.pack(start))
+        rows.directory(seg, ids, start)
         wn.split(rows, seg, wn.part_of(h[pos], parts), pos, [(h[pos], _TAIL)])
         yield rows.batch()
 
@@ -68,6 +68,8 @@ def _number(keys: list[np.ndarray], part: int) -> tuple[np.ndarray, np.ndarray]:
 def _bucket(table: pa.Table, n_keys: int, width: int) -> pa.Table:
     """The rows of a part -> back by segment: a = bucket identifiers, b = positions, of what is not alone."""
     rows, part = wn.Rows(), table.column("part")[0].as_py()
+    if part < 0:
+        return table
     keys = [[wn.unpack(v.as_py(), np.uint64, width) for v in table.column(c)] for c in ("a", "b")[:n_keys]]
     at, ident = _number([np.concatenate(k) for k in reversed(keys)], part)
     row_of = np.repeat(np.arange(table.num_rows), [len(x) for x in keys[0]])
@@ -80,7 +82,7 @@ def _point(table: pa.Table, step: int, parts: int) -> pa.Table:
     rows = wn.Rows()
     ids, start, found = wn.directory_of(table)
     seg = table.column("seg")[0].as_py()
-    rows.add(-1, seg, wn.pack(ids), wn.pack(start))
+    rows.directory(seg, ids, start)
     if found:
         ident = np.zeros(start[-1] + step, np.uint64)
         for r in found:
@@ -120,20 +122,12 @@ def repeated_substrings(docs: DataFrame, text_col: str = "text", id_col: str = "
     """
     if not 1 <= qgram < length:
         raise ValueError("qgram must be shorter than length")
-    spark = docs.sparkSession
     parts = wn.n_parts(docs, text_col)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lower(F.col(text_col)).alias("__text")).where("doc_id IS NOT NULL")
-    rows, path = materialize(texts.mapInArrow(lambda it: _initial(it, qgram, parts), wn.SCHEMA), "suffix-initial")
-    keyed, depth, keys, width, paths = rows, qgram, 1, _TAIL, [path]
-    while True:
+    keyed, depth, keys, width = texts.mapInArrow(lambda it: _initial(it, qgram, parts), wn.SCHEMA), qgram, 1, _TAIL
+    while depth < length:
         step = min(depth, length - depth)
-        found = keyed.where("part >= 0").groupBy("part").applyInArrow(_bucketing(keys, width), wn.SCHEMA)
-        pointed = found.union(keyed.where("part = -1")).groupBy("seg").applyInArrow(_pointing(step, parts), wn.SCHEMA)
-        keyed, path = materialize(pointed, "suffix-round")
-        remove(spark, *paths)
-        depth, keys, width, paths = depth + step, 2, 8, [path]
-        if depth == length:
-            break
-    out, _ = materialize(wn.window_spans(keyed, length, (8, 8), later_only=False), "suffix-spans")
-    remove(spark, *paths)
-    return out
+        found = keyed.groupBy("part").applyInArrow(_bucketing(keys, width), wn.SCHEMA)
+        keyed = found.groupBy("seg").applyInArrow(_pointing(step, parts), wn.SCHEMA)
+        depth, keys, width = depth + step, 2, 8
+    return materialize(wn.window_spans(keyed, length, (8, 8), later_only=False), "suffix-spans")[0]

@@ -6,8 +6,10 @@ between segments and *parts* (hash ranges) as packed arrays, a row for each
 (part, segment) and not for each word: sorting and comparing is numpy's work, and
 a shuffled position costs little more than the bits of its key that differ.
 
-Rows have the columns ``part, seg, a, b, c, d``.  Part -1 holds a segment's
-directory: a = document ids, b = first word of each document and the end.
+Rows have the columns ``part, seg, a, b, c, d``.  A negative part marks a segment's
+directory: a = document ids, b = first word of each document and the end.  It
+passes through the parts' groups as it is, so that one plan without a stored table
+between its steps does all.
 """
 
 from __future__ import annotations
@@ -22,9 +24,11 @@ from pyspark.sql import functions as F
 
 from . import textkit as tk
 
-SEGMENT_WORDS = 1 << 21
+SEGMENT_WORDS = 1 << 19
 #: Bytes of text a part stands for: what a reducer holds of it is about 40 bytes for each 6 of these.
-PART_BYTES = 16 << 20
+PART_BYTES = 8 << 20
+#: Groups that directories are spread over.
+DIRECTORY_PARTS = 1 << 12
 SCHEMA = "part int, seg long, a binary, b binary, c binary, d binary"
 SPANS = "doc_id long, start_word long, end_word long, first_doc long"
 _NAMES = ["part", "seg", "a", "b", "c", "d"]
@@ -74,6 +78,9 @@ class Rows:
     def add(self, part: int, seg: int, *blobs: bytes) -> None:
         self.rows.append((part, seg, *blobs, *[None] * (4 - len(blobs))))
 
+    def directory(self, seg: int, ids: np.ndarray, start: np.ndarray) -> None:
+        self.add(-1 - seg % DIRECTORY_PARTS, seg, pack(ids.astype(np.int64)), pack(start))
+
     def batch(self) -> pa.RecordBatch:
         cols = list(zip(*self.rows)) if self.rows else [()] * 6
         types = [pa.int32(), pa.int64()] + [pa.binary()] * 4
@@ -140,8 +147,8 @@ def by_segment(table: pa.Table, row_of: np.ndarray, at: np.ndarray, rows: Rows,
 def directory_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[dict]]:
     """A segment's document ids, first words, and its other rows."""
     rows = table.to_pylist()
-    head = next(r for r in rows if r["part"] == -1)
-    return unpack(head["a"], np.int64), unpack(head["b"], np.int64), [r for r in rows if r["part"] != -1]
+    head = next(r for r in rows if r["part"] < 0)
+    return unpack(head["a"], np.int64), unpack(head["b"], np.int64), [r for r in rows if r["part"] >= 0]
 
 
 def cross_document(keys: list[np.ndarray], docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -190,6 +197,8 @@ def window_spans(keyed: DataFrame, length: int, widths: tuple[int, int], later_o
 
     def classes(table: pa.Table) -> pa.Table:
         rows, part = Rows(), table.column("part")[0].as_py()
+        if part < 0:
+            return table
         a = [unpack(v.as_py(), np.uint64, widths[0]) for v in table.column("a")]
         b = [unpack(v.as_py(), np.uint64, widths[1]) for v in table.column("b")]
         docs = np.concatenate([unpack(v.as_py(), np.int64) for v in table.column("c")])
@@ -203,5 +212,4 @@ def window_spans(keyed: DataFrame, length: int, widths: tuple[int, int], later_o
             return pa.Table.from_batches([pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 4, ["doc_id", "start_word", "end_word", "first_doc"])])
         return pa.Table.from_batches([spans_of(ids, start, rows, length, later_only)])
 
-    repeated = keyed.where("part >= 0").groupBy("part").applyInArrow(classes, SCHEMA)
-    return repeated.union(keyed.where("part = -1")).groupBy("seg").applyInArrow(spans, SPANS)
+    return keyed.groupBy("part").applyInArrow(classes, SCHEMA).groupBy("seg").applyInArrow(spans, SPANS)
