@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import materialize, remove
+from .shared import free_name, materialize, remove
 
 SEED = 42
 BUDGET_SHARE = 0.6
@@ -129,9 +129,10 @@ def keep_mixed(docs: DataFrame, seed: int = SEED, id_col: str = "doc_id", source
     Rows that repeat an id are served together.
     """
     served = mix(docs, seed=seed, id_col=id_col, source_col=source_col, **params)
-    cuts = served.groupBy(F.col("source").alias("__source")).agg(F.max(shuffle_key(F.col("doc_id"), seed)).alias("__cut"))
+    source, cut = free_name(docs, "__source"), free_name(docs, "__cut")
+    cuts = served.groupBy(F.col("source").alias(source)).agg(F.max(shuffle_key(F.col("doc_id"), seed)).alias(cut))
     if cuts.count() <= MAX_BROADCAST_SOURCES:
-        on = docs[source_col].cast("string").eqNullSafe(F.col("__source")) & (shuffle_key(docs[id_col].cast("long"), seed) <= F.col("__cut"))
+        on = docs[source_col].cast("string").eqNullSafe(cuts[source]) & (shuffle_key(docs[id_col].cast("long"), seed) <= cuts[cut])
         return docs.join(F.broadcast(cuts), on, "left_semi")
-    ids = served.select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(ids, docs[id_col].cast("long").eqNullSafe(F.col("__id")), "left_semi")
+    ids = served.select(F.col("doc_id").alias(source)).distinct()
+    return docs.join(ids, docs[id_col].cast("long").eqNullSafe(ids[source]), "left_semi")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .shared import materialize, remove
+from .shared import free_name, materialize, remove
 
 SHINGLE = 3
 ROWS = 2
@@ -206,5 +206,6 @@ def drop_near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str =
     group); rows that repeat a kept id stay, as they cannot be told apart.
     """
     groups = near_duplicates(docs, text_col, id_col, **params)
-    gone = groups.where("doc_id != keep_id").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs[id_col].cast("long") == F.col("__gone"), "left_anti")
+    name = free_name(docs, "__gone")
+    gone = groups.where("doc_id != keep_id").select(F.col("doc_id").alias(name))
+    return docs.join(gone, docs[id_col].cast("long") == gone[name], "left_anti")

@@ -7,8 +7,8 @@ plus the largest group (always feasible), each pass checking ``PROBES``
 capacities greedily, and the order is then cut there.
 
 The sizes are range-partitioned and packed into blocks of a table in the shared
-folder; a pass streams the blocks, so the driver holds one partition's sizes,
-whatever their number.
+folder.  A pass is one task that streams the blocks, 8 bytes a group: neither it nor
+the driver ever holds them all, and nothing but the cuts comes back.
 """
 
 from __future__ import annotations
@@ -74,27 +74,52 @@ class Greedy:
         self.seen += len(sizes)
 
 
-def _search(blocks, total: int, largest: int, n_shards: int) -> tuple[int, list[int]]:
-    """Smallest capacity and the numbers of the groups that begin a shard; ``blocks()`` streams the sizes."""
+def _search(walk, total: int, largest: int, n_shards: int) -> int:
+    """Smallest feasible capacity; ``walk(capacities)`` tells how many shards each of them fills."""
     lo = max(largest, -(-total // n_shards))
     hi = lo + largest
     while True:
         probes = sorted({lo + (hi - lo) * i // PROBES for i in range(PROBES + 1)})
-        walk = Greedy(probes)
-        for sizes in blocks():
-            walk.feed(sizes)
-        k = next(i for i, s in enumerate(walk.shards) if s <= n_shards)
+        shards = walk(probes)
+        k = next(i for i, s in enumerate(shards) if s <= n_shards)
         if k == 0 or probes[k] - probes[k - 1] == 1:
-            return probes[k], walk.cuts[k]
+            return probes[k]
         lo, hi = probes[k - 1] + 1, probes[k]
 
 
 def minimax_cuts(sizes: list[int], n_shards: int) -> tuple[int, list[int]]:
-    """The same for sizes in memory: (capacity, first group of each shard)."""
+    """For sizes in memory: (capacity, first group of each shard)."""
     if not sizes:
         return 0, []
     a = np.array(sizes, np.int64)
-    return _search(lambda: [a], int(a.sum()), int(a.max()), n_shards)
+
+    def walk(probes):
+        w = Greedy(probes)
+        w.feed(a)
+        return w
+
+    capacity = _search(lambda p: walk(p).shards, int(a.sum()), int(a.max()), n_shards)
+    return capacity, walk([capacity]).cuts[0]
+
+
+def _walk(batches, capacities: list[int]):
+    """sizes (in order) -> capacity, shards."""
+    walk = Greedy(capacities)
+    for batch in batches:
+        for b in batch.column(0):
+            walk.feed(np.frombuffer(b.as_buffer(), np.int64))
+    yield pa.RecordBatch.from_arrays([pa.array(capacities, pa.int64()), pa.array(walk.shards, pa.int64())], ["capacity", "shards"])
+
+
+def _first_groups(batches, capacity: int):
+    """sizes, groups (in order) -> the groups that begin a shard."""
+    walk = Greedy([capacity])
+    for batch in batches:
+        for b, names in zip(batch.column(0), batch.column(1)):
+            at = walk.seen
+            walk.cuts = [[]]
+            walk.feed(np.frombuffer(b.as_buffer(), np.int64))
+            yield pa.RecordBatch.from_arrays([names.values.take(pa.array(np.array(walk.cuts[0], np.int64) - at))], ["group"])
 
 
 def shard_boundaries(spark: SparkSession, groups: DataFrame, n_shards: int) -> tuple[int, list[str]]:
@@ -106,22 +131,16 @@ def shard_boundaries(spark: SparkSession, groups: DataFrame, n_shards: int) -> t
     if not n:
         remove(spark, path)
         return 0, []
-    ordered = blocks.select("pid", "seq", "sizes").orderBy("pid", "seq")
-
-    def stream():
-        for r in ordered.toLocalIterator():
-            yield np.frombuffer(r["sizes"], np.int64)
-
-    capacity, cuts = _search(stream, total, largest, n_shards)
-    # The keys of the cut groups: at most n_shards of them.
-    starts, at = [], 0
-    for r in blocks.select("pid", "seq", F.size("groups").alias("n")).orderBy("pid", "seq").toLocalIterator():
-        starts += [(r["pid"], r["seq"], c - at) for c in cuts if at <= c < at + r["n"]]
-        at += r["n"]
-    wanted = spark.createDataFrame(starts, "pid int, seq long, i long")
-    keys = [r[0] for r in blocks.join(wanted, ["pid", "seq"]).select(F.expr("groups[int(i)]")).collect()]
+    ordered = blocks.coalesce(1).sortWithinPartitions("pid", "seq")
+
+    def walk(probes: list[int]) -> list[int]:
+        rows = ordered.select("sizes").mapInArrow(lambda it: _walk(it, probes), "capacity long, shards long").collect()
+        return [r["shards"] for r in sorted(rows)]
+
+    capacity = _search(walk, total, largest, n_shards)
+    keys = ordered.select("sizes", "groups").mapInArrow(lambda it: _first_groups(it, capacity), "group string").collect()
     remove(spark, path)
-    return capacity, sorted(keys)
+    return capacity, sorted(r[0] for r in keys)
 
 
 def assign_shards(docs: DataFrame, group: Column, size: Column, n_shards: int = N_SHARDS) -> DataFrame:

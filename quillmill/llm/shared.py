@@ -50,6 +50,14 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of df is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def remove(spark: SparkSession, *paths: str) -> None:
     """Delete tables that nothing reads any more."""
     for path in paths:
