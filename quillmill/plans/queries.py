@@ -213,12 +213,12 @@ def _segment_ctes(words: str, backward: bool = False, out: str = "seg") -> str:
         if backward
         else f"SELECT s.word, s.n, s.p + b.m.l AS p, list_append(s.ids, b.m.id) AS ids FROM {out}_walk s JOIN {out}_best b ON b.word = s.word AND b.beg = s.p + 1"
     )
-    return f"""{out}_w AS (SELECT DISTINCT word, length(word) AS n FROM ({words})),
+    return f"""{out}_w AS MATERIALIZED (SELECT DISTINCT word, length(word) AS n FROM ({words})),
 {out}_sub AS (SELECT word, beg, l, beg + l - 1 AS fin, substr(word, beg, l) AS body FROM
   (SELECT word, beg, unnest(range(1, n - beg + 2)) AS l FROM (SELECT word, n, unnest(range(1, n + 1)) AS beg FROM {out}_w)) WHERE l <= {load_vocab().longest}),
-{out}_best AS (SELECT word, {by}, {best} AS m FROM {out}_sub JOIN v ON (beg = 1 AND token = body AND NOT starts_with(token, '##')) OR (beg > 1 AND token = '##' || body) GROUP BY word, {by}),
+{out}_best AS MATERIALIZED (SELECT word, {by}, {best} AS m FROM {out}_sub JOIN v ON token = CASE WHEN beg = 1 THEN body ELSE '##' || body END AND NOT (beg = 1 AND starts_with(token, '##')) GROUP BY word, {by}),
 {out}_walk AS (SELECT word, n, CAST({'n' if backward else '0'} AS BIGINT) AS p, CAST([] AS INTEGER[]) AS ids FROM {out}_w UNION ALL {step}),
-{out} AS (SELECT word, arg_{'min' if backward else 'max'}(ids, p) AS ids, {'min(p) = 0' if backward else 'max(p) = any_value(n)'} AS ok FROM {out}_walk GROUP BY word),
+{out} AS MATERIALIZED (SELECT word, arg_{'min' if backward else 'max'}(ids, p) AS ids, {'min(p) = 0' if backward else 'max(p) = any_value(n)'} AS ok FROM {out}_walk GROUP BY word),
 """
 
 
@@ -234,19 +234,19 @@ def _less(a: str, b: str) -> str:
 
 
 def _both_ctes(words: str, most: int | None = None) -> str:
-    """both(word, ids): the preferred segmentation of forward and backward, each with room for ``most`` ids."""
+    """twin(word, ids): the preferred segmentation of forward and backward, each with room for ``most`` ids."""
     long = f"strlen(word) > {most}" if most else "false"
     f = f"CASE WHEN {long} THEN [{_UNK}] WHEN s.ok THEN s.ids{f'[1:{most}]' if most else ''} " + (f"WHEN len(s.ids) > {most} THEN s.ids[1:{most}] " if most else "") + f"ELSE [{_UNK}] END"
     b = f"CASE WHEN {long} OR NOT r.ok THEN [{_UNK}] ELSE r.ids{f'[-{most}:]' if most else ''} END"
-    return _segment_ctes(words) + _segment_ctes(words, True, "rev") + f"both_ AS (SELECT word, {f} AS f, {b} AS b FROM seg s JOIN rev r USING (word)),\nboth AS (SELECT word, CASE WHEN f = b OR {_less('f', 'b')} THEN f ELSE b END AS ids FROM both_),\n"
+    return _segment_ctes(words) + _segment_ctes(words, True, "rev") + f"pair AS (SELECT word, {f} AS f, {b} AS b FROM seg s JOIN rev r USING (word)),\ntwin AS MATERIALIZED (SELECT word, CASE WHEN f = b OR {_less('f', 'b')} THEN f ELSE b END AS ids FROM pair),\n"
 
 
 def _ids_sql(limit: int | None, pad: bool = False, special: bool = True, both: bool = False, table: str = "documents", keys: str = "doc_id", final: str = "") -> str:
     """(keys, ids): the encoding of a table's texts."""
     most = limit - 1 if limit else None
-    base = f"t AS (SELECT {keys}, {_basic()} AS w FROM {table}),\nx AS (SELECT {keys}, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM t),\n"
+    base = f"t AS MATERIALIZED (SELECT {keys}, {_basic()} AS w FROM {table}),\nx AS MATERIALIZED (SELECT {keys}, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM t),\n"
     if both:
-        rows = f"y AS (SELECT {keys}, pos, ids AS part FROM x JOIN both USING (word)),\n"
+        rows = f"y AS (SELECT {keys}, pos, ids AS part FROM x JOIN twin USING (word)),\n"
         cut = f"[1:{most - 1}]" if limit else ""
     else:
         over = f"strlen(word) > {most}" if limit else "false"
@@ -296,6 +296,19 @@ tok AS (SELECT {key}, i, unnest(m) AS token, unnest(range(1, len(m) + 1)) AS j F
 {final}"""
 
 
+def _boundary_sql(size: int) -> str:
+    def last(sub: str, n: int) -> str:
+        back = f"instr(reverse(w), reverse({sub}))"
+        return f"CASE WHEN {back} = 0 THEN -1 ELSE length(w) - {back} + 1 - {n} END"
+
+    return f"""WITH RECURSIVE k AS (
+  SELECT doc_id, text, 0 AS i, CAST(0 AS BIGINT) AS a, CAST(0 AS BIGINT) AS b FROM documents
+  UNION ALL
+  SELECT doc_id, text, i + 1, b, b + CASE WHEN b + {size} >= length(text) THEN length(text) - b WHEN para > {size // 2} THEN para + 2 WHEN dot > {size // 4} THEN dot + 1 WHEN blank > 0 THEN blank ELSE {size} END
+  FROM (SELECT *, {last('chr(10) || chr(10)', 2)} AS para, {last("'. '", 2)} AS dot, {last("' '", 1)} AS blank FROM (SELECT *, substr(text, b + 1, {size}) AS w FROM k WHERE b < length(text))))
+SELECT doc_id, CAST(i - 1 AS INTEGER) AS chunk_index, CAST(a AS INTEGER) AS start, CAST(b AS INTEGER) AS "end", substr(text, a + 1, b - a) AS text FROM k WHERE i > 0"""
+
+
 def _sql_of(out: str, expression: str, table: str = "documents", key: str = "doc_id") -> str:
     return f"SELECT {key}, {expression} AS {out} FROM {table}"
 
@@ -345,7 +358,7 @@ def oracle_sql() -> dict[str, str]:
         "bpe_merges_load": "SELECT CAST(i - 1 AS INTEGER) AS rank, string_split(m, ' ')[1] AS a, string_split(m, ' ')[2] AS b FROM (SELECT unnest(string_split(" + _str("\n".join(f"{a} {b}" for a, b in load_bpe().merges)) + f", chr(10))) AS m, unnest(range(1, {len(load_bpe().merges) + 1})) AS i)",
         "wordpiece_forward": _word_sql(_segment_ctes(words), _FORWARD, "seg"),
         "wordpiece_backward": _word_sql(_segment_ctes(words, True), _FORWARD, "seg"),
-        "wordpiece_bidirectional": _word_sql(_both_ctes(words), "ids", "both"),
+        "wordpiece_bidirectional": _word_sql(_both_ctes(words), "ids", "twin"),
         "wordpiece_relational": f"WITH RECURSIVE {_vocab_cte()}{_segment_ctes(talk)}o AS (SELECT word, array_to_string(ids, ' ') AS ids, ok FROM seg) SELECT * FROM o",
         "encode_unlimited": _ids_sql(None),
         "encode_maxlen16": _ids_sql(16),
@@ -360,7 +373,9 @@ def oracle_sql() -> dict[str, str]:
         "bpe_pretokenize": _sql_of("pieces", mapped_pieces),
         "bpe_encode": _bpe_sql(bpe_ids),
         "bpe_encode_fold": _bpe_sql(bpe_tokens, "benchmark", "item_id"),
+        "bpe_decode": "SELECT doc_id, translate(text, '$^', '') AS text FROM documents",
         "fixed_chunks": fixed,
+        "chunk_boundaries": _boundary_sql(1000),
         "token_counts_by_lang": f"SELECT lang, count(*) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_tokens, CAST(max(len(w)) AS INTEGER) AS longest FROM (SELECT lang, {_basic()} AS w FROM documents) GROUP BY lang",
         "oov_rate": _ids_sql(None, special=False, final=f"SELECT source, CAST(sum(len(ids)) AS BIGINT) AS n_ids, CAST(sum(len(list_filter(ids, lambda i: i = {_UNK}))) AS BIGINT) AS n_unknown FROM e JOIN documents USING (doc_id) GROUP BY source"),
         "top_tokens": f"SELECT word, count(*) AS n FROM ({words}) GROUP BY word ORDER BY n DESC, word LIMIT 100",
