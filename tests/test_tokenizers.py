@@ -167,7 +167,8 @@ def test_chunks(spark):
         assert "".join(c["text"] for c in cut[0]) == text and cut[1:] == [[], None]
         words = ask(spark, [text], lambda c: chunks.word_chunks(c, size))[0]
         assert "".join(words) == text and all(w[0] in " \n" for w in words[1:])
-    assert chunks.boundaries("aaaa\n\nbbbb. cc dd", 9) == [(0, 6), (6, 11), (11, 17)]
+    assert chunks.boundaries("aaaaa\n\nbbbb. cc dd", 9) == [(0, 7), (7, 12), (12, 18)]
+    assert chunks.boundaries("aaaa\n\nbbbb. cc dd", 9) == [(0, 9), (9, 17)]
     assert ask(spark, [""], lambda c: chunks.fixed_chunks(c, 5)) == [[]]
 
 
