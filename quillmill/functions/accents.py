@@ -80,11 +80,21 @@ def _hangul(c: Column) -> Column:
     return F.when(c.rlike(f"[{HANGUL}]"), F.array_join(F.transform(F.split(c, ""), one), "")).otherwise(c)
 
 
+def special() -> str:
+    """The class of characters that translate() alone can't fold."""
+    return HANGUL + "".join(f"\\x{{{ord(ch):X}}}" for ch in tables()[2])
+
+
+def fold_special(c: Column) -> Column:
+    """Hangul and the other characters that become several."""
+    out = _hangul(c)
+    for ch, to in tables()[2].items():
+        out = F.replace(out, F.lit(ch), F.lit(to))
+    return out
+
+
 def lower_strip(c: Column) -> Column:
     """Lower case without accents; null for null.  Built-in functions only."""
-    source, target, many = tables()
-    out = _hangul(F.translate(c, source, target))
-    several = out
-    for ch, to in many.items():
-        several = F.replace(several, F.lit(ch), F.lit(to))
-    return F.when(out.rlike("[" + "".join(f"\\x{{{ord(ch):X}}}" for ch in many) + "]"), several).otherwise(out)
+    source, target, _ = tables()
+    plain = F.translate(c, source, target)
+    return F.when(c.rlike(f"[{special()}]"), fold_special(plain)).otherwise(plain)

@@ -2,23 +2,44 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from . import chars
+from . import accents, chars
 from .accents import lower_strip
 
-__all__ = ["clean_text", "cjk_spacing", "lower_strip", "whitespace_tokenize", "split_punctuation", "basic_tokenize", "ascii_lower"]
+__all__ = ["clean_text", "cjk_spacing", "lower_strip", "whitespace_tokenize", "split_punctuation", "basic_tokenize", "ascii_lower", "normalize"]
+
+
+@lru_cache(maxsize=2)
+def _table(fold: bool) -> tuple[str, str]:
+    """FROM and TO of the one translate() that cleans, and folds, too: what is dropped has no counterpart."""
+    gone = chars.members(chars.DROPPED)
+    blank = "".join(c for c in chars.members(chars.WHITESPACE) if c != " ")
+    source, target = blank, " " * len(blank)
+    if fold:
+        known = set(gone) | set(blank)
+        frm, to, _ = accents.tables()
+        pairs = [(a, b) for a, b in zip(frm, to) if a not in known]
+        source, target = source + "".join(a for a, _ in pairs), target + "".join(b for _, b in pairs)
+        gone += "".join(c for c in frm[len(to) :] if c not in known)
+    return source + gone, target
+
+
+def _spaced(c: Column) -> Column:
+    return F.regexp_replace(c, f"([{chars.CHINESE}])", " $1 ")
 
 
 def clean_text(c: Column) -> Column:
     """Drop control characters and the like; white space of any kind becomes a blank."""
-    return F.regexp_replace(F.regexp_replace(c, f"[{chars.DROPPED}]", ""), f"[{chars.WHITESPACE}]", " ")
+    return F.translate(c, *_table(False))
 
 
 def cjk_spacing(c: Column) -> Column:
     """Cleaned text with a blank on both sides of every CJK ideograph."""
-    return F.regexp_replace(clean_text(c), f"([{chars.CHINESE}])", " $1 ")
+    return _spaced(clean_text(c))
 
 
 def ascii_lower(c: Column) -> Column:
@@ -33,7 +54,17 @@ def whitespace_tokenize(c: Column) -> Column:
 
 def split_punctuation(c: Column) -> Column:
     """Each punctuation character, and each run of others between blanks."""
-    return F.regexp_extract_all(c, F.lit(f"[{chars.PUNCTUATION}]|[^ {chars.PUNCTUATION}]+"), F.lit(0))
+    return F.regexp_extract_all(c, F.lit(f"[{chars.COMMON}[^ {chars.PUNCTUATION}]]+|[{chars.PUNCTUATION}]"), F.lit(0))
+
+
+def normalize(c: Column, do_lower_case: bool = True, tokenize_chinese_chars: bool = True) -> Column:
+    """Cleaned text, with CJK spacing and folding as asked for: one translate() for text that has no character for which more is needed."""
+    plain = F.translate(c, *_table(do_lower_case))
+    full = _spaced(clean_text(c)) if tokenize_chinese_chars else clean_text(c)
+    if do_lower_case:
+        full = lower_strip(full)
+    rare = (chars.CHINESE if tokenize_chinese_chars else "") + (accents.special() if do_lower_case else "")
+    return F.when(c.rlike(f"[{rare}]"), full).otherwise(plain) if rare else plain
 
 
 def basic_tokenize(c: Column, do_lower_case: bool = True, tokenize_chinese_chars: bool = True) -> Column:
@@ -41,5 +72,4 @@ def basic_tokenize(c: Column, do_lower_case: bool = True, tokenize_chinese_chars
 
     A word that is nothing but combining marks is dropped.
     """
-    text = cjk_spacing(c) if tokenize_chinese_chars else clean_text(c)
-    return split_punctuation(lower_strip(text) if do_lower_case else text)
+    return split_punctuation(normalize(c, do_lower_case, tokenize_chinese_chars))
