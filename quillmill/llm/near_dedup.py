@@ -67,6 +67,23 @@ def _signatures(batches, k: int, rows: int, side: int):
             )
 
 
+def _bucket_members(batches):
+    """key, doc_id (sorted) -> key, rep, doc_id of each bucket's members but the first, which is rep; a bucket of any size is streamed."""
+    last, rep = None, 0
+    for batch in batches:
+        key, doc = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        if not len(key):
+            continue
+        new = np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
+        new[0] = last is None or key[0] != last
+        at = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
+        first = np.where(at >= 0, doc[at], rep)
+        last, rep = key[-1], first[-1]
+        other = np.flatnonzero(doc != first)
+        yield pa.RecordBatch.from_arrays([pa.array(key[other]), pa.array(first[other]), pa.array(doc[other])], ["key", "rep", "doc_id"])
+
+
 def _shingle_sets(batches, k: int):
     """doc_id, __text -> doc_id and its sorted distinct shingle hashes as bytes."""
     for batch in batches:
@@ -99,17 +116,19 @@ def _verify(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array([jaccard(p, q) for p, q in zip(x, y)], np.float64))], ["a", "b", "jaccard"])
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, k: int) -> tuple[DataFrame, str]:
-    """pairs (a, b) with their exact Jaccard similarity; only texts that a pair needs are hashed."""
+def _sets_of(docs: DataFrame, pairs: DataFrame, k: int) -> tuple[DataFrame, str]:
+    """Shingle sets of the documents in pairs (a, b): the one time that text is shuffled, by a merge join at any size."""
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = docs.join(ids, "doc_id", "left_semi").mapInArrow(lambda it: _shingle_sets(it, k), "doc_id long, shingles binary")
-    sets, path = materialize(sets, "near-shingles")
+    sets = docs.join(ids.hint("merge"), "doc_id", "left_semi").mapInArrow(lambda it: _shingle_sets(it, k), "doc_id long, shingles binary")
+    return materialize(sets, "near-shingles")
+
+
+def _verified(sets: DataFrame, pairs: DataFrame) -> tuple[DataFrame, str]:
+    """pairs (a, b) with their exact Jaccard similarity."""
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("__x"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("__y"))
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "__x", "__y")
-    out = materialize(joined.mapInArrow(_verify, "a long, b long, jaccard double"), "near-verified")
-    remove(docs.sparkSession, path)
-    return out
+    return materialize(joined.mapInArrow(_verify, "a long, b long, jaccard double"), "near-verified")
 
 
 def components(edges: DataFrame) -> tuple[DataFrame, str | None]:
@@ -173,22 +192,23 @@ def near_duplicates(
     # Tables of pairs of keys.  In a bucket, each member is a candidate of the smallest.
     tensor = F.flatten(F.transform(F.slice("keys", 1, side), lambda x: F.transform(F.slice("keys", side + 1, side), lambda y: F.xxhash64(x, y))))
     bucket = table.select("doc_id", F.posexplode(tensor).alias("__t", "__h")).select("doc_id", F.xxhash64("__h", "__t").alias("key"))
-    members = bucket.groupBy("key").agg(F.collect_set("doc_id").alias("ids")).where("size(ids) > 1")
-    members, members_path = materialize(members.select("key", F.array_min("ids").alias("rep"), F.explode("ids").alias("doc_id")), "near-buckets")
-    star = members.where("doc_id != rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct()
-    checked, checked_path = _verified(texts, star, shingle)
+    sorted_ = bucket.select("key", "doc_id").repartition("key").sortWithinPartitions("key", "doc_id")
+    members, members_path = materialize(sorted_.mapInArrow(_bucket_members, "key long, rep long, doc_id long"), "near-buckets")
+    star = members.select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct()
+    sets, sets_path = _sets_of(texts, star, shingle)
+    checked, checked_path = _verified(sets, star)
     good = checked.where(F.col("jaccard") >= threshold).select("a", "b")
     # Members that their bucket's first one does not resemble: compared with all the others there.
     failed = checked.where(F.col("jaccard") < threshold).select(F.col("a").alias("rep"), F.col("b").alias("doc_id"))
-    used = [first_path, members_path, checked_path, copies_path]
+    used = [first_path, members_path, sets_path, checked_path, copies_path]
     if not failed.isEmpty():
         settled, settled_path = components(good)
         left = members.join(failed, ["rep", "doc_id"]).select("key", F.col("doc_id").alias("x"))
-        more = left.join(members.where("doc_id != rep").select("key", F.col("doc_id").alias("y")), "key").where("x != y")
+        more = left.join(members.select("key", F.col("doc_id").alias("y")), "key").where("x != y")
         more = more.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         root = lambda c: settled.select(F.col("doc_id").alias(c), F.col("keep_id").alias(f"__{c}"))
         more = more.join(root("a"), "a", "left").join(root("b"), "b", "left").where(F.coalesce("__a", "a") != F.coalesce("__b", "b")).select("a", "b")
-        second, second_path = _verified(texts, more, shingle)
+        second, second_path = _verified(sets, more)  # all of them are in star, too
         good = good.union(second.where(F.col("jaccard") >= threshold).select("a", "b"))
         used += [settled_path, second_path]
     near, near_path = components(good.union(copies.select("doc_id", "keep_id")))
@@ -208,4 +228,5 @@ def drop_near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str =
     groups = near_duplicates(docs, text_col, id_col, **params)
     name = free_name(docs, "__gone")
     gone = groups.where("doc_id != keep_id").select(F.col("doc_id").alias(name))
-    return docs.join(gone, docs[id_col].cast("long") == gone[name], "left_anti")
+    # A merge join at any size: what it drops grows with the corpus.
+    return docs.join(gone.hint("merge"), docs[id_col].cast("long") == gone[name], "left_anti")
