@@ -91,10 +91,17 @@ def wordpiece_relational(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def decode_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 64 ids of each turn, decoded; decode_roundtrip_unlimited has the whole turns."""
     vocab = load_vocab()
     return _table(spark, sf_dir, "conversations").select("conv_id", "turn", encode.decode(encode.encode(F.col("text"), vocab, 64), vocab).alias("decoded"))
 
 
+def decode_roundtrip_unlimited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole text of each turn, encoded and decoded."""
+    vocab = load_vocab()
+    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", encode.decode(encode.encode(F.col("text"), vocab), vocab).alias("decoded"))
+
+
 def chunked_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = chunks.encode_chunked(_table(spark, sf_dir, "documents"), load_vocab(), size=1000)
     return out.select("doc_id", _joined("ids").alias("ids"))
@@ -160,6 +167,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "encode_raw": _per_document("ids", lambda c: _joined(encode.encode_raw(c, load_vocab()))),
     "wordpiece_tokens": _per_document("tokens", lambda c: _joined(encode.tokenize(c, load_vocab()))),
     "decode_roundtrip": decode_roundtrip,
+    "decode_roundtrip_unlimited": decode_roundtrip_unlimited,
     "bpe_byte_map": _per_document("mapped", bpe.byte_map),
     "bpe_byte_unmap": _per_document("text", lambda c: bpe.byte_unmap(bpe.byte_map(c))),
     "bpe_pretokenize": _per_document("pieces", lambda c: _joined(bpe.pretokenize(c))),
@@ -368,6 +376,7 @@ def oracle_sql() -> dict[str, str]:
         "chunked_encode": _ids_sql(None, special=False),
         "wordpiece_tokens": _ids_sql(None, special=False, final=tokens),
         "decode_roundtrip": _ids_sql(64, table="conversations", keys="conv_id, turn", final=decoded),
+        "decode_roundtrip_unlimited": _ids_sql(None, table="conversations", keys="conv_id, turn", final=decoded),
         "bpe_byte_map": _sql_of("mapped", _MAPPED),
         "bpe_byte_unmap": "SELECT doc_id, text FROM documents",
         "bpe_pretokenize": _sql_of("pieces", mapped_pieces),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillmill.operators import bpe, chunks, encode, wordpiece
 from quillmill.operators.wordpiece import Encoder, Vocab
+from quillmill.plans import queries
 from quillmill.sources import vocab as files
 from quillmill.tokenizer import Tokenizer, TokenizerOptions, load_bpe, load_vocab
 
@@ -100,6 +101,14 @@ def test_decode(spark):
         spark.createDataFrame([([99],)], "ids array<int>").select(encode.decode(F.col("ids"), TINY)).collect()
 
 
+def test_decode_roundtrip_has_the_whole_turn(spark, tmp_path):
+    texts = ["the end of it " * 300 + "the", "the", "", None]
+    spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)], "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r["turn"]: r["decoded"] for r in queries.QUERIES["decode_roundtrip_unlimited"](spark, str(tmp_path)).collect()}
+    assert got[1] == "the" and got[2] == "" and got[3] is None
+    assert got[0].split().count("the") == 301
+
+
 def test_tokenize(spark):
     assert ask(spark, ["unaffable!", None], lambda c: encode.tokenize(c, TINY)) == [["un", "##aff", "##able", "!"], None]
     assert ask(spark, ["hello abc"], lambda c: encode.encode_raw(c, TINY))[0] == [4, 1]
