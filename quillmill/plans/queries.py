@@ -134,10 +134,17 @@ def top_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def conversation_token_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids that a conversation takes where each turn has room for 128; conversation_token_totals has all ids."""
     n = _table(spark, sf_dir, "conversations").select("conv_id", F.size(encode.encode(F.col("text"), load_vocab(), 128, "none")).alias("n"))
     return n.groupBy("conv_id").agg(F.sum("n").alias("n_ids"), F.count("*").alias("turns"))
 
 
+def conversation_token_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ids of a conversation's turns, with [CLS] and [SEP] of each turn."""
+    n = _table(spark, sf_dir, "conversations").select("conv_id", F.size(encode.encode(F.col("text"), load_vocab())).alias("n"))
+    return n.groupBy("conv_id").agg(F.sum("n").alias("n_ids"), F.count("*").alias("turns"))
+
+
 _CLASSES = {"punctuation": chars.PUNCTUATION, "control": chars.CONTROL, "whitespace": chars.WHITESPACE, "chinese": chars.CHINESE, "dropped": chars.DROPPED}
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -182,6 +189,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "oov_rate": oov_rate,
     "top_tokens": top_tokens,
     "conversation_token_budget": conversation_token_budget,
+    "conversation_token_totals": conversation_token_totals,
 }
 
 
@@ -389,4 +397,5 @@ def oracle_sql() -> dict[str, str]:
         "oov_rate": _ids_sql(None, special=False, final=f"SELECT source, CAST(sum(len(ids)) AS BIGINT) AS n_ids, CAST(sum(len(list_filter(ids, lambda i: i = {_UNK}))) AS BIGINT) AS n_unknown FROM e JOIN documents USING (doc_id) GROUP BY source"),
         "top_tokens": f"SELECT word, count(*) AS n FROM ({words}) GROUP BY word ORDER BY n DESC, word LIMIT 100",
         "conversation_token_budget": _ids_sql(128, table="conversations", keys="conv_id, turn", final="SELECT conv_id, CAST(sum(len(ids)) AS BIGINT) AS n_ids, count(*) AS turns FROM e GROUP BY conv_id"),
+        "conversation_token_totals": _ids_sql(None, table="conversations", keys="conv_id, turn", final="SELECT conv_id, CAST(sum(len(ids)) AS BIGINT) AS n_ids, count(*) AS turns FROM e GROUP BY conv_id"),
     }

@@ -109,6 +109,13 @@ def test_decode_roundtrip_has_the_whole_turn(spark, tmp_path):
     assert got[0].split().count("the") == 301
 
 
+def test_conversation_totals_have_no_limit(spark, tmp_path):
+    rows = [(1, 0, "the " * 500), (1, 1, "the"), (2, 0, "")]
+    spark.createDataFrame(rows, "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = sorted(tuple(r) for r in queries.QUERIES["conversation_token_totals"](spark, str(tmp_path)).collect())
+    assert got == [(1, 505, 2), (2, 2, 1)]
+
+
 def test_tokenize(spark):
     assert ask(spark, ["unaffable!", None], lambda c: encode.tokenize(c, TINY)) == [["un", "##aff", "##able", "!"], None]
     assert ask(spark, ["hello abc"], lambda c: encode.encode_raw(c, TINY))[0] == [4, 1]
