@@ -11,6 +11,10 @@ A value can only agree where the window holds the item's own minimal shingle, so
 windows without such a shingle are never evaluated: same result, little work.
 Candidates are verified by exact containment of the item's shingles in the
 document.
+
+An item with fewer words than a shingle is looked up by all its words: the
+documents' n-grams of each such length that the benchmark has are compared with
+the items' own.
 """
 
 from __future__ import annotations
@@ -42,6 +46,13 @@ def _permute(h: np.ndarray, a: np.uint64) -> np.ndarray:
     return v * np.uint64(0x94D049BB133111EB)
 
 
+def _bitmap(hashes: np.ndarray) -> np.ndarray:
+    """Which low bits the hashes have."""
+    out = np.zeros(1 << max(16, int(16 * len(hashes)).bit_length()), bool)
+    out[(hashes & np.uint64(len(out) - 1)).astype(np.int64)] = True
+    return out
+
+
 @dataclass(frozen=True)
 class Index:
     """Benchmark items: ids, sorted shingle sets, and by size class the minhash values."""
@@ -54,18 +65,22 @@ class Index:
     by_shingle: dict[int, list[tuple[int, int]]]  #: minimal shingle -> (item, perm)
     filter: np.ndarray  #: bitmap over the low bits of the minimal shingles
     shingle: int
+    short: dict[int, tuple[np.ndarray, np.ndarray, list[list[int]]]]  #: words of an item, below ``shingle`` -> sorted hashes, bitmap, items of each hash; these items have no set
 
     @staticmethod
     def build(ids: list, texts: list[str | None], shingle: int = SHINGLE, perms: int = PERMS, growth: float = GROWTH) -> Index:
         keep, sets = [], []
+        brief: list[tuple[int, int, int]] = []  # words, hash, id
         base = 0
         for words in tk.word_chunks(pa.array([t.lower() if t is not None else None for t in texts], pa.large_string())):
             sh, offs = tk.shingles(words, shingle)
-            for i in range(words.n_docs):
-                s = np.unique(sh[offs[i] : offs[i + 1]])
-                if len(s):
-                    keep.append(ids[base + i])
-                    sets.append(s)
+            count = np.diff(words.doc_start)
+            for i in np.flatnonzero(count >= shingle).tolist():
+                keep.append(ids[base + i])
+                sets.append(np.unique(sh[offs[i] : offs[i + 1]]))
+            for n in np.unique(count[(count > 0) & (count < shingle)]).tolist():
+                grams = tk.gram_hashes(words, n)[0]
+                brief += [(n, int(grams[words.doc_start[i]]), ids[base + i]) for i in np.flatnonzero(count == n).tolist()]
             base += words.n_docs
         a = _perms(perms)
         values = np.zeros((len(sets), perms), np.uint64)
@@ -77,8 +92,7 @@ class Index:
                 values[i, p] = v[k]
                 by.setdefault(int(s[k]), []).append((i, p))
         minimal = np.array(sorted(by), dtype=np.uint64)
-        bitmap = np.zeros(1 << max(16, int(16 * len(by)).bit_length()), bool)
-        bitmap[(minimal & np.uint64(len(bitmap) - 1)).astype(np.int64)] = True
+        bitmap = _bitmap(minimal)
         sizes, classes = np.array([len(s) for s in sets], np.int64), []
         top = 1.0
         while len(sizes) and top < sizes.max() * growth:
@@ -86,19 +100,49 @@ class Index:
             if len(own):
                 classes.append((int(sizes[own].max()), own))
             top *= growth
-        return Index(keep, sets, classes, values, minimal, by, bitmap, shingle)
+        found: dict[int, dict[int, list[int]]] = {}
+        for n, h, item_id in brief:
+            found.setdefault(n, {}).setdefault(h, []).append(len(keep))
+            keep.append(item_id)
+        short = {}
+        for n, of in sorted(found.items()):
+            hashes = np.array(sorted(of), dtype=np.uint64)
+            short[n] = hashes, _bitmap(hashes), [of[h] for h in sorted(of)]
+        return Index(keep, sets, classes, values, minimal, by, bitmap, shingle, short)
+
+    def _short_matches(self, words: tk.Words) -> tuple[list[int], list[int]]:
+        """Documents of ``words`` and the short items whose words they hold in a row; each pair once."""
+        docs: list[int] = []
+        items: list[int] = []
+        for n, (hashes, bitmap, of) in self.short.items():
+            grams, whole = tk.gram_hashes(words, n)
+            hit = np.flatnonzero(bitmap[(grams & np.uint64(len(bitmap) - 1)).astype(np.int64)] & whole)
+            at = np.minimum(np.searchsorted(hashes, grams[hit]), len(hashes) - 1)
+            good = hashes[at] == grams[hit]
+            doc = np.searchsorted(words.doc_start, hit[good], side="right") - 1
+            for d, k in np.unique(np.stack([doc, at[good]]), axis=1).T.tolist():
+                docs += [d] * len(of[k])
+                items += of[k]
+        return docs, items
 
     def matches(self, col: pa.Array, threshold: float) -> tuple[np.ndarray, list[int], list[float]]:
         """Rows of col, items and containments of all verified matches."""
         rows: list[int] = []
         items: list[int] = []
         found: list[float] = []
-        if not self.sets:
+        if not self.ids:
             return np.array(rows, np.int64), items, found
         size_of = {int(i): u for u, own in self.classes for i in own}
         a = _perms(self.values.shape[1])
         mask = np.uint64(len(self.filter) - 1)
         for words in tk.word_chunks(col):
+            if self.short and threshold <= 1:
+                own_docs, own_items = self._short_matches(words)
+                rows += [words.lo + d for d in own_docs]
+                items += own_items
+                found += [1.0] * len(own_items)
+            if not self.sets:
+                continue
             sh, offs = tk.shingles(words, self.shingle)
             hit = np.flatnonzero(self.filter[(sh & mask).astype(np.int64)])
             if not len(hit):

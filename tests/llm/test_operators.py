@@ -131,6 +131,27 @@ def test_decontamination_awkward(spark):
     assert kept.columns == docs.columns and kept.count() == len(rows) - 5
 
 
+def test_decontamination_short_items(spark):
+    """Items of one to four words are found at any place of longer documents, and only as a run of words."""
+    rng = random.Random(4)
+    items = [(1, "Paris"), (2, "in the Dark"), (3, "w1 w2"), (4, "w1 w2"), (5, "w3"), (6, "w4 w5 w1 w2"), (7, "w1 w2 w3 w4 w5"), (8, "!"), (9, "w2 w2 w2")]
+    texts = [(0, "x " * 50 + "in THE dark" + " y" * 50), (1, "in the"), (2, "in a dark"), (3, "Paris"), (4, "a b c d e f, paris"), (5, "parish in the"), (6, "dark"), (7, None), (7, "")]
+    texts += [(i, " ".join(f"w{rng.randrange(6)}" for _ in range(rng.randrange(1, 30)))) for i in range(10, 80)]
+
+    def held(text, item):
+        w, own = brute.words(text), brute.words(item)
+        return bool(own) and own in [w[p : p + len(own)] for p in range(len(w))]
+
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = sorted(tuple(r) for r in decontaminate.contamination(docs, bench).collect())
+    assert got == sorted((d, i, 1.0) for d, t in texts for i, it in items if held(t, it)) and (0, 2, 1.0) in got and (4, 1, 1.0) in got
+    kept = [r["doc_id"] for r in decontaminate.drop_contaminated(docs, bench).collect()]
+    assert sorted(kept) == sorted(d for d, t in texts if not any(held(t, it) for _, it in items))
+    bench = spark.createDataFrame([(7, items[1][1]), (7, "w9 w9 w9 w9 w9")], "item_id long, text string")
+    assert [tuple(r) for r in decontaminate.contamination(docs, bench).collect()] == [(0, 7, 1.0)]
+
+
 # --- 3 and 10: repeated passages ---
 
 
