@@ -23,7 +23,7 @@ from .shared import free_name, materialize, remove
 
 SEED = 42
 BUDGET_SHARE = 0.6
-#: Sources whose cut points are broadcast at most; with more, documents are joined by id.
+#: Sources whose cut points are broadcast at most; with more, documents are merge-joined with them by source.
 MAX_BROADCAST_SOURCES = 10_000
 TOKEN = "[^ \\t\\n\\r\\f]+"
 
@@ -125,14 +125,13 @@ def keep_mixed(docs: DataFrame, seed: int = SEED, id_col: str = "doc_id", source
     """docs that mix() serves, with their columns.
 
     A source's served documents are the first ones of its shuffle, so its last
-    shuffle key is all that a document is compared with: no text is shuffled.
-    Rows that repeat an id are served together.
+    shuffle key is all that a document is compared with.  Text is shuffled only
+    where there are more than ``MAX_BROADCAST_SOURCES`` sources; the rule is the same.
+    Rows of a source that repeat an id are served together.
     """
     served = mix(docs, seed=seed, id_col=id_col, source_col=source_col, **params)
     source, cut = free_name(docs, "__source"), free_name(docs, "__cut")
     cuts = served.groupBy(F.col("source").alias(source)).agg(F.max(shuffle_key(F.col("doc_id"), seed)).alias(cut))
-    if cuts.count() <= MAX_BROADCAST_SOURCES:
-        on = docs[source_col].cast("string").eqNullSafe(cuts[source]) & (shuffle_key(docs[id_col].cast("long"), seed) <= cuts[cut])
-        return docs.join(F.broadcast(cuts), on, "left_semi")
-    ids = served.select(F.col("doc_id").alias(source)).distinct()
-    return docs.join(ids, docs[id_col].cast("long").eqNullSafe(ids[source]), "left_semi")
+    cuts = F.broadcast(cuts) if cuts.count() <= MAX_BROADCAST_SOURCES else cuts.hint("merge")
+    on = docs[source_col].cast("string").eqNullSafe(cuts[source]) & (shuffle_key(docs[id_col].cast("long"), seed) <= cuts[cut])
+    return docs.join(cuts, on, "left_semi")

@@ -373,6 +373,18 @@ def test_mixing(spark):
         mixing.mix(docs, {"s0": 0.0})
 
 
+def test_mixing_keeps_the_same_with_many_sources(spark, monkeypatch):
+    """Ids that several sources have, and null ids, are kept by source whatever the number of sources."""
+    rows = [(i % 40 if i % 7 else None, " ".join(["w"] * (1 + i % 5)), None if s == 0 else f"s{s}") for s in range(6) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    keep = lambda: mixing.keep_mixed(docs, weights={"s1": 8.0}, budget_share=0.4)
+    few = sorted(map(str, keep().collect()))
+    monkeypatch.setattr(mixing, "MAX_BROADCAST_SOURCES", 0)
+    many = keep()
+    assert sorted(map(str, many.collect())) == few and 0 < len(few) < len(rows)
+    assert "SortMergeJoin" in many._jdf.queryExecution().executedPlan().toString()
+
+
 # --- 9: near duplicates ---
 
 
