@@ -26,12 +26,19 @@ _BLOCK = frozenset(
 )
 #: Their contents are no text that a reader sees.
 _HIDDEN = frozenset("script style noscript template textarea svg math iframe object head".split())
+#: What a head may hold; any other tag, and text, ends it.
+_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
+#: Hidden to the end of the page where they are never closed: a script has no text, and a head ends by itself.
+_TO_THE_END = frozenset("script style head".split())
 
 
 class _Lines(HTMLParser):
-    """Lines of a page: their text, text length and number of tags."""
+    """Lines of a page: their text, text length and number of tags.
 
-    def __init__(self):
+    ``shown``: the numbers of hidden elements that are read as if they were not hidden.
+    """
+
+    def __init__(self, shown: frozenset[int] = frozenset()):
         super().__init__(convert_charrefs=True)
         self.text: list[str] = []
         self.chars: list[int] = []
@@ -39,6 +46,40 @@ class _Lines(HTMLParser):
         self._parts: list[str] = []
         self._tags = 0
         self._hidden: list[str] = []
+        self._numbers: list[int] = []  # of the elements in _hidden
+        self._shown = shown
+        self._count = 0
+        self._at = 0
+
+    def read(self, html: str) -> None:
+        """Parse the whole page; what the parser refuses is text, up to the next tag."""
+        self.rawdata = html
+        end = False
+        while True:
+            self._at = 0
+            try:
+                self.goahead(end)
+            except (AssertionError, ValueError):
+                k = self.rawdata.find("<", self._at + 1)
+                k = k if k >= 0 else len(self.rawdata)
+                self.handle_data(self.rawdata[self._at : k])
+                self.rawdata = self.rawdata[k:]
+                continue
+            if end:
+                break
+            end = True
+        self.flush()
+
+    def never_closed(self) -> frozenset[int]:
+        """Numbers of the hidden elements that are open at the end of the page."""
+        return frozenset(n for tag, n in zip(self._hidden, self._numbers) if tag not in _TO_THE_END)
+
+    def updatepos(self, i, j):
+        self._at = j
+        return j
+
+    def parse_marked_section(self, i, report=1):
+        return self.parse_bogus_comment(i, report)  # as in HTML, to the next >
 
     def flush(self) -> None:
         """End the line."""
@@ -49,28 +90,42 @@ class _Lines(HTMLParser):
             self.tags.append(self._tags)
         self._parts, self._tags = [], 0
 
+    def _leave_head(self, tag: str | None) -> None:
+        """End an open head at a tag, or at text, that it cannot hold."""
+        if self._hidden and self._hidden[-1] == "head" and tag not in _HEAD:
+            del self._hidden[-1], self._numbers[-1]
+
     def handle_starttag(self, tag, attrs):
-        if tag in _HIDDEN:
-            self._hidden.append(tag)
+        self._leave_head(tag)
+        if tag in _HIDDEN or tag == "title":
+            self._count += 1
+            if self._count not in self._shown and (tag in _HIDDEN or "head" in self._hidden):
+                self._hidden.append(tag)
+                self._numbers.append(self._count)
         elif tag == "body":
             self._hidden.clear()
+            self._numbers.clear()
         if tag in _BLOCK:
             self.flush()
         self._tags += 1
 
     def handle_startendtag(self, tag, attrs):
+        self._leave_head(tag)
         if tag in _BLOCK:
             self.flush()
         self._tags += 1
 
     def handle_endtag(self, tag):
         if self._hidden and tag in self._hidden:
-            del self._hidden[len(self._hidden) - 1 - self._hidden[::-1].index(tag) :]
+            at = len(self._hidden) - 1 - self._hidden[::-1].index(tag)
+            del self._hidden[at:], self._numbers[at:]
         self._tags += 1
         if tag in _BLOCK:
             self.flush()
 
     def handle_data(self, data):
+        if self._hidden and data.strip():
+            self._leave_head(None)
         if self._hidden:
             return
         lines = data.split("\n")
@@ -108,12 +163,12 @@ def extract(html: str | None, sigma: float = SIGMA, margin: float = MARGIN) -> t
     if not html:
         return "", 0, 0
     parser = _Lines()
-    try:
-        parser.feed(html)
-        parser.close()
-    except (AssertionError, ValueError):
-        pass  # malformed declarations: what was read so far counts
-    parser.flush()
+    parser.read(html)
+    shown: frozenset[int] = frozenset()
+    while left := parser.never_closed():  # once: what was open at the end closed nothing else
+        shown |= left
+        parser = _Lines(shown)
+        parser.read(html)
     chars = np.array(parser.chars, float)
     if not chars.any():
         return "", 0, 0
@@ -129,7 +184,10 @@ def extract_text(pages: DataFrame, html_col: str = "html", id_col: str = "page_i
 
     Defined cases: a null or empty page, and one without text, has the empty text
     and no lines; where all ratios are alike, all lines with text are content;
-    malformed markup is read as the parser reads it; repeated rows give repeated
+    malformed markup is read as the parser reads it, and what it refuses as text
+    (an unknown ``<![`` section is a comment up to the next ``>``); a head ends at
+    the first tag or text that it cannot hold; a hidden element without an end tag
+    hides nothing, but for scripts and styles; repeated rows give repeated
     results; a null id stays null; pages of any length are taken whole; other
     columns are not read.
     """

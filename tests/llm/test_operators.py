@@ -257,6 +257,31 @@ def test_html_parts():
     assert s[2] == max(s) and s[1] == pytest.approx(s[3]) and (html_text.smooth(np.ones(4), 2.0) == pytest.approx(np.ones(4)))
 
 
+@pytest.mark.parametrize(
+    "start",
+    [
+        "<![bad x>", "<![ x>", "<![if gte mso 9>", "<![endif]-->", "<![CDATA[ never closed >", "<![>", "<!>", "<a href='&#" + "9" * 5000 + ";'>x</a>", "&#" + "9" * 5000 + "; ",
+        "<head><title>hidden</title><meta charset=x>", "<head><title>hidden</title>\n", "<head><link><br/>", "<svg>", "<svg><path d=x>", "<iframe src=x>", "<object><svg></svg>", "<svg><iframe></iframe>", "<svg><svg></svg>",
+        "<head><title>hidden</title><svg>", "<textarea>", "<template><noscript>", "<head><title>",
+    ],
+)
+@pytest.mark.parametrize("tag", ["p", "div", ""])
+def test_html_after_bad_markup(start, tag):
+    """Bad or unclosed markup hides no text that follows it."""
+    page = f"<p>before</p>{start}" + (f"<{tag}>" if tag else "") + "after it<p>last<svg><text>hidden</text></svg></p>"
+    text, _, n_lines = html_text.extract(page, margin=0.0)
+    assert "before" in text and "after it" in text and "last" in text and n_lines >= 2
+    assert "hidden" not in text
+
+
+def test_html_hidden_to_the_end():
+    """An unclosed script or style has no text; closed elements stay hidden beside an unclosed one."""
+    for start in ("<script>", "<style>"):
+        assert html_text.extract(f"<p>before</p>{start} var after = 1")[0] == "before"
+    got = html_text.extract("<svg><p>one</p><iframe>no</iframe><p>two</p><svg>no</svg><p>three", margin=0.0)[0]
+    assert got.split() == ["one", "two", "three"]
+
+
 def test_html_of_the_corpus(spark):
     """Articles are found and menus left out in the test pages."""
     import re
