@@ -132,6 +132,13 @@ def _joining(budget: float, radius2: float):
     return lambda table: _join(table, budget, radius2)
 
 
+def _usable(vectors: DataFrame, embedding_col: str, id_col: str) -> DataFrame:
+    """(id, e) of the rows that can be in pairs."""
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(embedding_col).cast("array<double>").alias("e"))
+    bad = F.exists("e", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
+    return rows.where(F.col("id").isNotNull() & F.col("e").isNotNull() & ~bad & F.exists("e", lambda x: x != 0))
+
+
 def near_pairs(vectors: DataFrame, min_cosine: float = MIN_COSINE, embedding_col: str = "embedding", id_col: str = "vec_id", blocks: int = BLOCKS, tile: int = TILE) -> DataFrame:
     """(a, b, cosine): all pairs of vectors of at least ``min_cosine``, copies as one.
 
@@ -147,9 +154,7 @@ def near_pairs(vectors: DataFrame, min_cosine: float = MIN_COSINE, embedding_col
     pairs; other columns are not read.
     """
     spark = vectors.sparkSession
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(embedding_col).cast("array<double>").alias("e"))
-    bad = F.exists("e", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
-    rows = rows.where(F.col("id").isNotNull() & F.col("e").isNotNull() & ~bad & F.exists("e", lambda x: x != 0))
+    rows = _usable(vectors, embedding_col, id_col)
     rows, rows_path = materialize(rows.withColumn("dim", F.size("e")), "embed-rows")
     firsts, firsts_path = materialize(rows.groupBy("e").agg(F.min("id").alias("id"), F.first("dim").alias("dim")), "embed-first")
     copies = rows.join(firsts.select("e", F.col("id").alias("a")), "e").where("id != a").select("a", F.col("id").alias("b"), F.lit(1.0).alias("cosine")).distinct()
@@ -180,3 +185,26 @@ def near_pairs(vectors: DataFrame, min_cosine: float = MIN_COSINE, embedding_col
     out, _ = materialize(out, "embed-pairs")
     remove(spark, *paths)
     return out
+
+
+def expand_copies(vectors: DataFrame, pairs: DataFrame, min_cosine: float = MIN_COSINE, embedding_col: str = "embedding", id_col: str = "vec_id") -> DataFrame:
+    """(a, b, cosine): every pair of ids of at least ``min_cosine``, copies too, from what near_pairs() gave for the same vectors and ``min_cosine``.
+
+    m copies of one vector and n of a near one have all m * n pairs, and copies all
+    pairs among themselves; a < b, each pair once with its largest cosine.
+    """
+    rows = _usable(vectors, embedding_col, id_col).distinct()
+    firsts = rows.groupBy("e").agg(F.min("id").alias("first"))
+    members = rows.join(firsts, "e")
+    # An id that comes first for several vectors is never paired with itself, but their copies may be.
+    own = firsts.groupBy("first").count().where("count > 1").select(F.col("first").alias("a"), F.col("first").alias("b"))
+    side = lambda c, v: firsts.select(F.col("first").alias(c), F.col("e").alias(v))
+    both = pairs.select("a", "b").union(own).distinct().join(side("a", "x"), "a").join(side("b", "y"), "b").where("x != y AND size(x) = size(y) AND (a != b OR x < y)")
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda t, p: t + p)
+    # An id may stand for several vectors, so that a pair of ids does not say which ones are near.
+    near = both.withColumn("cosine", dot("x", "y") / F.sqrt(dot("x", "x") * dot("y", "y"))).where(F.col("cosine") >= min_cosine - 1e-12)
+    held = lambda c, v, to: members.select(F.col("first").alias(c), F.col("e").alias(v), F.col("id").alias(to))
+    apart = near.join(held("a", "x", "p"), ["a", "x"]).join(held("b", "y", "q"), ["b", "y"]).select("p", "q", "cosine")
+    same = rows.select("e", F.col("id").alias("p")).join(rows.select("e", F.col("id").alias("q")), "e").where("p < q").select("p", "q", F.lit(1.0).alias("cosine"))
+    out = apart.union(same).where("p != q").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "cosine")
+    return out.groupBy("a", "b").agg(F.round(F.max("cosine"), 6).alias("cosine"))

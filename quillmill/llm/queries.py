@@ -57,7 +57,7 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pairs of near-duplicate embeddings."""
+    """All pairs of near-duplicate embeddings, up to copies: of equal embeddings only the smallest id has further pairs (embedding_dedup.expand_copies gives the others)."""
     return embedding_dedup.near_pairs(_table(spark, sf_dir, "embeddings"))
 
 

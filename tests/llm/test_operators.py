@@ -377,6 +377,26 @@ def test_embedding_pairs(spark, tile):
     assert embedding_dedup.near_pairs(table.limit(0)).count() == 0
 
 
+def test_embedding_copies_expanded(spark):
+    """Every pair of rows, by comparing all of them: copies beside copies, and ids that stand for several vectors."""
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal((6, 12))
+    near = [base[i] + rng.standard_normal(12) * 0.1 for i in range(6)]
+    rows = [(i, base[i % 6]) for i in range(18)] + [(30 + i, near[i % 6]) for i in range(12)] + [(0, near[0]), (0, base[3]), (50, 2 * base[1])]
+    rows = [(i, [float(x) for x in v]) for i, v in rows]
+    table = spark.createDataFrame([*rows, (60, None), (None, rows[0][1])], "vec_id long, embedding array<double>")
+    want = {}
+    for i, a in rows:
+        for j, b in rows:
+            c = float(np.dot(a, b) / math.sqrt(np.dot(a, a) * np.dot(b, b)))
+            if i < j and c >= 0.9:
+                want[i, j] = max(c, want.get((i, j), 0.0))
+    pairs = embedding_dedup.near_pairs(table, 0.9)
+    got = [tuple(r) for r in embedding_dedup.expand_copies(table, pairs, 0.9).collect()]
+    assert sorted(x[:2] for x in got) == sorted(want) and pairs.count() < len(want)
+    assert all(abs(want[a, b] - c) < 1e-5 for a, b, c in got)
+
+
 # --- 8: mixing ---
 
 
