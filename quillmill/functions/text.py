@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import accents, chars
 from .accents import lower_strip
 
-__all__ = ["clean_text", "cjk_spacing", "lower_strip", "whitespace_tokenize", "split_punctuation", "basic_tokenize", "ascii_lower", "normalize"]
+__all__ = ["clean_text", "cjk_spacing", "lower_strip", "whitespace_tokenize", "split_punctuation", "basic_tokenize", "basic_tokenize_sql", "ascii_lower", "normalize"]
 
 
 @lru_cache(maxsize=2)
@@ -67,9 +67,18 @@ def normalize(c: Column, do_lower_case: bool = True, tokenize_chinese_chars: boo
     return F.when(c.rlike(f"[{rare}]"), full).otherwise(plain) if rare else plain
 
 
+def basic_tokenize_sql(c: Column, do_lower_case: bool = True, tokenize_chinese_chars: bool = True) -> Column:
+    """basic_tokenize() in built-in functions alone."""
+    return split_punctuation(normalize(c, do_lower_case, tokenize_chinese_chars))
+
+
 def basic_tokenize(c: Column, do_lower_case: bool = True, tokenize_chinese_chars: bool = True) -> Column:
     """The words of a text: cleaned, folded and split at blanks and punctuation (null for null).
 
-    A word that is nothing but combining marks is dropped.
+    A word that is nothing but combining marks is dropped.  Arrow batches and numpy:
+    several times as fast as basic_tokenize_sql(), whose translate() looks each
+    character up as a string.
     """
-    return split_punctuation(normalize(c, do_lower_case, tokenize_chinese_chars))
+    from ..operators.words import basic_words
+
+    return basic_words(c, do_lower_case, tokenize_chinese_chars)

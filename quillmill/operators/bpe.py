@@ -2,20 +2,27 @@
 
 Bytes are mapped to printable characters first and split into pieces after that
 (pretokenize="reference"), so that blanks, which the map turns into letters, do not
-end a piece; "canonical" splits the text and maps the pieces.  Byte map, split and
-decoding are built-in functions.  Merging is done once for each distinct piece that
-a worker meets.
+end a piece; "canonical" splits the text and maps the pieces.  As columns, byte map
+and split are built-in functions; encode() does both with numpy on whole batches.
+Few merges in order are applied to a whole batch at a time, others once for each
+distinct piece that a worker meets.
 """
 
 from __future__ import annotations
 
+import heapq
+import unicodedata
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from .words import chunks_of, string_parts, to_utf8
+
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _MOVED = [b for b in range(256) if b not in set(_PLAIN)]
 _FROM = "".join(map(chr, _MOVED))
@@ -23,12 +30,13 @@ _TO = "".join(chr(256 + i) for i in range(len(_MOVED)))
 _NUL = chr(256)
 _SUFFIXES = ("s", "t", "re", "ve", "m", "ll", "d")
 _LETTER, _NUMBER = "\\p{L}", "\\p{N}"
-_SPACE = "\\x{9}-\\x{D}\\x{20}\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}"
-_REST = f"[^{_SPACE}{_LETTER}{_NUMBER}]"
-PIECE = "|".join([*("'" + s for s in _SUFFIXES), *(f" ?{x}+" for x in (_LETTER, _NUMBER, _REST)), f"[{_SPACE}]+(?![^{_SPACE}])", f"[{_SPACE}]+"])
+SPACE = "\\x{9}-\\x{D}\\x{20}\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}"
+_REST = f"[^{SPACE}{_LETTER}{_NUMBER}]"
+PIECE = "|".join([*("'" + s for s in _SUFFIXES), *(f" ?{x}+" for x in (_LETTER, _NUMBER, _REST)), f"[{SPACE}]+(?![^{SPACE}])", f"[{SPACE}]+"])
 #: The same for mapped strings, where no white space is left (and for engines without look-ahead).
 MAPPED_PIECE = "|".join([*("'" + s for s in _SUFFIXES), f"{_LETTER}+", f"{_NUMBER}+", f"[^{_LETTER}{_NUMBER}]+"])
-MEMO_PIECES = 1 << 18
+#: Pieces that a worker remembers the ids of, and the longest of them.
+MEMO_PIECES, MEMO_LENGTH = 1 << 18, 256
 
 
 def byte_map(text: Column) -> Column:
@@ -67,22 +75,35 @@ class BpeVocab:
         object.__setattr__(self, "ranks", {m: i for i, m in enumerate(self.merges)})
 
     def merge(self, piece: str) -> list[str]:
-        """Merge the adjacent pair of lowest rank, everywhere it occurs from the left, until there is none."""
-        parts = list(piece)
-        while len(parts) > 1:
-            best = min(zip(parts, parts[1:]), key=lambda p: self.ranks.get(p, len(self.ranks)))
-            if best not in self.ranks:
-                break
-            out, i = [], 0
-            while i < len(parts):
-                if i + 1 < len(parts) and (parts[i], parts[i + 1]) == best:
-                    out.append(parts[i] + parts[i + 1])
-                    i += 2
-                else:
-                    out.append(parts[i])
-                    i += 1
-            parts = out
-        return parts
+        """Merge the adjacent pair of lowest rank, everywhere it occurs from the left, until there is none.
+
+        A heap of pairs over a linked list of tokens: n log n for a piece of n characters.
+        """
+        parts: list[str] = list(piece)
+        n, rank = len(parts), self.ranks.get
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r, i) for i in range(n - 1) if (r := rank((parts[i], parts[i + 1]))) is not None]
+        heapq.heapify(heap)
+        while heap:
+            low, made = heap[0][0], []
+            left, right = self.merges[low]
+            # All places of this pair, from the left; new pairs count only after the last of them.
+            while heap and heap[0][0] == low:
+                i = heapq.heappop(heap)[1]
+                j = after[i]
+                if parts[i] != left or j >= n or parts[j] != right:
+                    continue
+                parts[i], parts[j] = left + right, ""
+                k = after[i] = after[j]
+                if k < n:
+                    before[k] = i
+                    made.append(i)
+                if before[i] >= 0:
+                    made.append(before[i])
+            for i in made:
+                if parts[i] and after[i] < n and (r := rank((parts[i], parts[after[i]]))) is not None:
+                    heapq.heappush(heap, (r, i))
+        return [x for x in parts if x]
 
     def ordered(self) -> bool:
         """Whether one pass over the merges in rank order does the same as merging by lowest rank.
@@ -98,33 +119,144 @@ class BpeVocab:
         return len(self.ranks) == len(self.merges)
 
 
-def encode(text: Column, vocab: BpeVocab, mode: str = "reference") -> Column:
-    """Ids of a text's tokens; tokens that the vocabulary lacks are left out.  A null text is null."""
-    memo: dict[str, list[int]] = {}
+class Mapped:
+    """The mapped bytes of texts, and where pieces begin in them (pretokenize="reference"), with numpy."""
 
-    @arrow_udf("array<int>")
-    def encode_pieces(batch: pa.Array) -> pa.Array:
-        import numpy as np
-        import pyarrow.compute as pc
+    def __init__(self):
+        self.point = np.arange(256, dtype=np.uint16)
+        self.point[_MOVED] = 256 + np.arange(len(_MOVED))
+        kinds = [unicodedata.category(chr(int(p)))[0] for p in self.point]
+        #: 1 letter, 2 number, 0 anything else.
+        self.kind = np.array([1 if k == "L" else 2 if k == "N" else 0 for k in kinds], np.uint8)
+
+    def starts(self, buf: np.ndarray, cut: np.ndarray) -> np.ndarray:
+        """Byte offsets of the pieces of the texts that ``cut`` cuts ``buf`` into."""
+        n = len(buf)
+        kind = self.kind[buf]
+        begins = np.ones(n, bool)
+        begins[1:] = kind[1:] != kind[:-1]
+        end = np.repeat(cut[1:], np.diff(cut))
+        heads = cut[:-1][cut[:-1] < n]
+        begins[heads] = True
+        at = np.flatnonzero(begins & (buf == ord("'")))
+        for suffix in _SUFFIXES:
+            k = len(suffix)
+            own = at[at + k < end[at]]
+            for i, c in enumerate(suffix.encode()):
+                own = own[buf[own + 1 + i] == c]
+            begins[own + 1] = False
+            own = own[own + 1 + k < end[own]]
+            begins[own + 1 + k] = True
+        return np.flatnonzero(begins)
+
+
+class Folder:
+    """Merging whole batches: each token is a character, and a merge replaces two by one everywhere.
 
-        coded = batch.flatten().dictionary_encode()
+    For merges that are ordered() and few; a merge is one pass over the batch.
+    """
+
+    MOST = 1024
+
+    def __init__(self, vocab: BpeVocab, mapped: Mapped):
+        codes = {chr(int(p)): int(p) for p in mapped.point}
+        for x in sorted({c for m in vocab.merges for t in m for c in t} - set(codes)):
+            codes[x] = 0x200 + len(codes)
+        self.passes = []
+        for a, b in vocab.merges:
+            codes[a + b] = 0x200 + len(codes)
+            self.passes.append((chr(codes[a]) + chr(codes[b]), chr(codes[a + b])))
+        self.id = np.full(max(codes.values()) + 1, -1, np.int32)
+        for token, code in codes.items():
+            self.id[code] = vocab.ids.get(token, -1)
+
+    def ids(self, points: np.ndarray, starts: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts' tokens, and the n + 1 offsets of each text's."""
+        # U+0001 ends a piece, U+0002 a text (no byte is mapped to either).
+        text = np.insert(points, np.concatenate((starts, cut[1:])), np.append(np.full(len(starts), 1, np.uint16), np.full(len(cut) - 1, 2, np.uint16)))
+        s = text.astype("<u2").tobytes().decode("utf-16-le")
+        for pair, one in self.passes:
+            s = s.replace(pair, one)
+        out = np.frombuffer(s.encode("utf-16-le"), np.uint16)
+        ids = self.id[out]
+        known = np.append(0, np.cumsum(ids >= 0))
+        return ids[ids >= 0], np.append(0, known[np.flatnonzero(out == 2)])
+
+
+class Merger:
+    """Merging piece by piece: each distinct piece once, with a memo of those that this worker has met."""
+
+    def __init__(self, vocab: BpeVocab):
+        self.vocab = vocab
+        self.memo: dict[str, list[int]] = {}
+
+    def ids(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces and the n + 1 offsets of each one's."""
+        coded = pieces.dictionary_encode()
         known = []
         for piece in coded.dictionary.to_pylist():
-            got = memo.get(piece)
+            got = self.memo.get(piece)
             if got is None:
-                if len(memo) >= MEMO_PIECES:
-                    memo.clear()
-                got = memo[piece] = [vocab.ids[t] for t in vocab.merge(piece) if t in vocab.ids]
+                if len(self.memo) >= MEMO_PIECES:
+                    self.memo.clear()
+                got = [self.vocab.ids[t] for t in self.vocab.merge(piece) if t in self.vocab.ids]
+                if len(piece) <= MEMO_LENGTH:
+                    self.memo[piece] = got
             known.append(got)
         taken = pa.array(known, pa.list_(pa.int32())).take(coded.indices)
         size = pc.list_value_length(taken).to_numpy(zero_copy_only=False).astype(np.int64)
-        run = np.append(0, np.cumsum(size))
-        counts = pc.fill_null(pc.list_value_length(batch), 0).to_numpy(zero_copy_only=False)
-        cut = run[np.append(0, np.cumsum(counts))]
-        null = batch.is_null().to_numpy(zero_copy_only=False)
-        return pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), taken.flatten(), mask=pa.array(null) if null.any() else None)
+        return taken.flatten().to_numpy(), np.append(0, np.cumsum(size))
 
-    return encode_pieces(pretokenize(text, mode))
+
+class BpeEncoder:
+    """Encodes Arrow batches of texts, or of their pieces."""
+
+    def __init__(self, vocab: BpeVocab):
+        self.mapped, self.merger = Mapped(), Merger(vocab)
+        self.folder = Folder(vocab, self.mapped) if vocab.ordered() and len(vocab.merges) <= Folder.MOST else None
+
+    def _texts(self, buf: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        points, starts = self.mapped.point[buf], self.mapped.starts(buf, cut)
+        if self.folder:
+            return self.folder.ids(points, starts, cut)
+        data, offs = to_utf8(points.astype(np.uint32), np.append(starts, len(buf)))
+        pieces = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(offs.astype(np.int64)), pa.py_buffer(data)])
+        ids, run = self.merger.ids(pieces)
+        return ids, run[np.searchsorted(starts, cut)]
+
+    def texts(self, col: pa.Array) -> pa.Array:
+        """Lists of the ids of texts; a null for a null."""
+        buf, offs = string_parts(col)
+        null, out = col.is_null().to_numpy(zero_copy_only=False), [pa.array([], pa.list_(pa.int32()))]
+        for i, j in chunks_of(offs):
+            ids, cut = self._texts(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+            out.append(pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(ids, pa.int32()), mask=pa.array(null[i:j]) if null[i:j].any() else None))
+        return pa.concat_arrays(out)
+
+    def pieces(self, lists: pa.Array) -> pa.Array:
+        """Lists of the ids of lists of mapped pieces; a null for a null."""
+        ids, run = self.merger.ids(lists.flatten())
+        cut = run[np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)))]
+        null = lists.is_null().to_numpy(zero_copy_only=False)
+        return pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(ids, pa.int32()), mask=pa.array(null) if null.any() else None)
+
+
+def encoding(vocab: BpeVocab, of_pieces: bool = False):
+    """A function of text (or of lists of mapped pieces): lists of ids."""
+    held: list[BpeEncoder] = []
+
+    @arrow_udf("array<int>")
+    def bpe_ids(batch: pa.Array) -> pa.Array:
+        if not held:
+            held.append(BpeEncoder(vocab))
+        return held[0].pieces(batch) if of_pieces else held[0].texts(batch)
+
+    return bpe_ids
+
+
+def encode(text: Column, vocab: BpeVocab, mode: str = "reference") -> Column:
+    """Ids of a text's tokens; tokens that the vocabulary lacks are left out.  A null text is null."""
+    return encoding(vocab)(text) if mode == "reference" else encoding(vocab, True)(pretokenize(text, mode))
 
 
 def encode_fold(text: Column, vocab: BpeVocab, mode: str = "reference") -> Column:
@@ -143,7 +275,22 @@ def encode_fold(text: Column, vocab: BpeVocab, mode: str = "reference") -> Colum
 
 
 def decode(ids: Column, vocab: BpeVocab) -> Column:
-    """Text of ids; ids out of range are left out."""
-    table = F.split(F.lit("\n".join(vocab.tokens)), "\n")
-    parts = F.transform(F.filter(ids, lambda i: (i >= 0) & (i < len(vocab.tokens))), lambda i: F.get(table, i))
-    return byte_unmap(F.array_join(parts, ""))
+    """Text of ids; ids out of range and characters that stand for no byte are left out, bad UTF-8 is replaced."""
+    byte = {chr(int(p)): b for b, p in enumerate(Mapped().point)}
+    raw = [bytes(byte[c] for c in t if c in byte) for t in vocab.tokens]
+    start = np.append(0, np.cumsum([len(x) for x in raw]))
+    data = np.frombuffer(b"".join(raw), np.uint8)
+
+    @arrow_udf("binary")
+    def bytes_of(batch: pa.Array) -> pa.Array:
+        flat = pc.fill_null(batch.flatten(), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        good = (flat >= 0) & (flat < len(raw))
+        flat = np.where(good, flat, 0)
+        size = np.where(good, start[flat + 1] - start[flat], 0)
+        run = np.append(0, np.cumsum(size))
+        out = data[np.repeat(start[flat] - run[:-1], size) + np.arange(run[-1])]
+        cut = run[np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(batch), 0).to_numpy(zero_copy_only=False)))]
+        found = pa.Array.from_buffers(pa.large_binary(), len(batch), [None, pa.py_buffer(cut.astype(np.int64)), pa.py_buffer(out)])
+        return pc.if_else(batch.is_null(), pa.scalar(None, pa.large_binary()), found).cast(pa.binary())
+
+    return F.make_valid_utf8(bytes_of(ids).cast("string"))

@@ -24,14 +24,18 @@ def fixed_chunks(text: Column, size: int = FIXED_CHUNK) -> Column:
 
 
 def boundaries(text: str, size: int) -> list[tuple[int, int]]:
-    """Cuts after a paragraph in the second half of a chunk, else after a sentence past its first quarter, else before a blank, else anywhere."""
+    """Cuts after a paragraph in the second half of a chunk, else after a sentence past its first quarter, else before a blank, else anywhere.
+
+    What is looked for may use the character at which the chunk would end anyway, so
+    a chunk that ends with a paragraph has ``size`` + 1 characters at most.
+    """
     out, start, n = [], 0, len(text)
     while start < n:
         end = min(start + size, n)
         if end < n:
-            para = text.rfind("\n\n", start, end)
-            dot = text.rfind(". ", start, end)
-            blank = text.rfind(" ", start, end)
+            para = text.rfind("\n\n", start + 1, end + 1)
+            dot = text.rfind(". ", start + 1, end + 1)
+            blank = text.rfind(" ", start + 1, end + 1)
             if para > start + size // 2:
                 end = para + 2
             elif dot > start + size // 4:
@@ -44,7 +48,7 @@ def boundaries(text: str, size: int) -> list[tuple[int, int]]:
 
 
 def boundary_chunks(text: Column, size: int = CHUNK) -> Column:
-    """A text in chunks of at most ``size`` characters that end at a paragraph, sentence or word where they can."""
+    """A text in chunks of about ``size`` characters that end at a paragraph, sentence or word where they can."""
     if size < 1:
         raise ValueError("size must be 1 or more")
 

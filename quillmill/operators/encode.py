@@ -7,20 +7,42 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from ..functions.text import basic_tokenize
-from .wordpiece import Encoder, Vocab
+from .segment import Segmenter
+from .wordpiece import UNLIMITED, Encoder, Vocab
+from .words import word_lists
 
+_NO_IDS = pa.array([], pa.list_(pa.int32()))
 
-def _ids(words: Column, vocab: Vocab, bidirectional: bool, max_length: int, special: bool, pad_to: int) -> Column:
+
+def encoding(vocab: Vocab, bidirectional: bool, max_length: int, special: bool, pad_to: int, fold: bool = True, cjk: bool = True):
+    """A function of text: lists of ids.  A text goes to Python as it is, and nothing but its ids comes back."""
     held: list[Encoder] = []  # one for each Python worker
 
     @arrow_udf("array<int>")
-    def encode_words(batch: pa.Array) -> pa.Array:
+    def encode_text(batch: pa.Array) -> pa.Array:
         if not held:
             held.append(Encoder(vocab, bidirectional, max_length))
-        return held[0].encode(batch, special, pad_to)
+        return pa.concat_arrays([_NO_IDS, *(held[0].encode(words, special, pad_to) for words in word_lists(batch, fold, cjk))])
+
+    return encode_text
 
-    return encode_words(words)
+
+def token_lists(vocab: Vocab, fold: bool = True, cjk: bool = True, bidirectional: bool = False):
+    """A function of text: lists of pieces."""
+    held: list[Encoder] = []
+    tokens = pa.array(vocab.tokens, pa.string())
+
+    @arrow_udf("array<string>")
+    def tokenize_text(batch: pa.Array) -> pa.Array:
+        if not held:
+            held.append(Encoder(vocab, bidirectional))
+        out = [pa.array([], pa.list_(pa.string()))]
+        for words in word_lists(batch, fold, cjk):
+            ids = held[0].encode(words, False)
+            out.append(pa.ListArray.from_arrays(ids.offsets, tokens.take(ids.values), mask=ids.is_null() if ids.null_count else None))
+        return pa.concat_arrays(out)
+
+    return tokenize_text
 
 
 def encode(
@@ -38,24 +60,28 @@ def encode(
     limit cuts keeps its first pieces.  -1 is no limit.  A null text is null.
     """
     pad_to = max_length if padding == "max_length" else -1
-    return _ids(basic_tokenize(text, do_lower_case, tokenize_chinese_chars), vocab, bidirectional, max_length, True, pad_to)
+    return encoding(vocab, bidirectional, max_length, True, pad_to, do_lower_case, tokenize_chinese_chars)(text)
 
 
 def encode_raw(text: Column, vocab: Vocab, bidirectional: bool = False, do_lower_case: bool = True, tokenize_chinese_chars: bool = True) -> Column:
     """The pieces alone: no special ids, limit or padding."""
-    return _ids(basic_tokenize(text, do_lower_case, tokenize_chinese_chars), vocab, bidirectional, -1, False, -1)
+    return encoding(vocab, bidirectional, -1, False, -1, do_lower_case, tokenize_chinese_chars)(text)
 
 
 def segment(word: Column, vocab: Vocab, direction: str = "forward", max_length: int = -1) -> Column:
     """The ids of a single word: "forward", "backward" or "both"."""
-    most = max_length - 1 if max_length >= 0 else (1 << 31) - 1
-    one = {"forward": lambda w: vocab.limited(w, most), "backward": lambda w: vocab.limited(w, most, backward=True), "both": lambda w: vocab.both(w, most)}[direction]
+    most = max_length - 1 if max_length >= 0 else UNLIMITED
+    if direction not in ("forward", "backward", "both"):
+        raise ValueError(f"no such direction: {direction}")
+    held: list[Segmenter] = []
 
     @arrow_udf("array<int>")
     def segment_words(batch: pa.Array) -> pa.Array:
+        if not held:
+            held.append(Segmenter(vocab))
         coded = batch.dictionary_encode()
-        pieces = pa.array([one(w) for w in coded.dictionary.to_pylist()], pa.list_(pa.int32()))
-        return pieces.take(coded.indices)
+        ids, offs = held[0].limited(coded.dictionary, most, direction)
+        return pa.ListArray.from_arrays(pa.array(offs.astype("int32")), pa.array(ids)).take(coded.indices)
 
     return segment_words(word)
 
@@ -73,7 +99,7 @@ def tokens_of(ids: Column, vocab: Vocab) -> Column:
 
 def tokenize(text: Column, vocab: Vocab, do_lower_case: bool = True, tokenize_chinese_chars: bool = True) -> Column:
     """The pieces of a text as strings."""
-    return tokens_of(encode_raw(text, vocab, False, do_lower_case, tokenize_chinese_chars), vocab)
+    return token_lists(vocab, do_lower_case, tokenize_chinese_chars)(text)
 
 
 def decode(ids: Column, vocab: Vocab) -> Column:

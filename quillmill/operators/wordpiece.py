@@ -1,9 +1,8 @@
 """WordPiece: dictionary segmentation of words, forward, backward and both.
 
 Segmentation depends on the word alone.  So the fast path takes the words that an
-Arrow batch has, each once (dictionary encoding), segments those that this worker
-has not met, and assembles all documents of the batch with numpy; nothing is
-shuffled.  segment_relational() is the same as joins and higher-order functions,
+Arrow batch has, each once (dictionary encoding), segments them all at once, and
+assembles all documents of the batch with numpy; nothing is shuffled.  segment_relational() is the same as joins and higher-order functions,
 without Python.
 """
 
@@ -17,9 +16,6 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Words that a worker remembers the pieces of.
-MEMO_WORDS = 1 << 20
-
 
 def less(a: list[int], b: list[int]) -> bool:
     """Whether segmentation a is preferred to b: the smaller least id, then the smaller sorted ids of 4 and up; a tie is no."""
@@ -102,33 +98,26 @@ class Vocab:
     def both(self, word: str, most: int) -> list[int]:
         """Forward or backward segmentation, whichever is preferred; backward on a tie."""
         f, b = self.limited(word, most), self.limited(word, most, backward=True)
-        if f == b:
-            return f
-        return f if less([x for x in f if x >= 4], [x for x in b if x >= 4]) else b
+        return f if f == b or self.prefers(f, b) else b
+
+    @staticmethod
+    def prefers(f: list[int], b: list[int]) -> bool:
+        """Whether f is preferred to b."""
+        return less([x for x in f if x >= 4], [x for x in b if x >= 4])
 
 
 UNLIMITED = (1 << 31) - 1
 
 
 class Encoder:
-    """Encodes batches of word lists; remembers the words it has met."""
+    """Encodes batches of word lists: the distinct words of a batch are segmented all at once (see segment.py)."""
 
     def __init__(self, vocab: Vocab, bidirectional: bool = False, max_length: int = -1):
+        from .segment import Segmenter
+
         self.vocab, self.bidirectional = vocab, bidirectional
         self.most = max_length - 1 if max_length >= 0 else UNLIMITED
-        self.memo: dict[str, tuple[list[int], bool, int]] = {}
-
-    def _word(self, word: str) -> tuple[list[int], bool, int]:
-        got = self.memo.get(word)
-        if got is None:
-            if self.bidirectional:
-                got = self.vocab.both(word, self.most), True, 0
-            else:
-                got = *self.vocab.forward(word), len(word.encode())
-            if len(self.memo) >= MEMO_WORDS:
-                self.memo.clear()
-            self.memo[word] = got
-        return got
+        self.segmenter = Segmenter(vocab)
 
     def pieces(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all lists of ``words``, without special ones, and the n + 1 offsets of each list's."""
@@ -138,17 +127,19 @@ class Encoder:
             flat = flat.combine_chunks()
         coded = flat.dictionary_encode()
         which = coded.indices.to_numpy(zero_copy_only=False)
-        known = [self._word(w) for w in coded.dictionary.to_pylist()]
-        unk = self.vocab.unk
+        known = coded.dictionary
         n = len(known)
-        length = np.fromiter((len(k[0]) for k in known), np.int64, n)
-        ok = np.fromiter((k[1] for k in known), bool, n)
-        over = np.fromiter((k[2] > self.most for k in known), bool, n)
         # The table of pieces: each word's, and behind them [UNK].
-        table = np.fromiter((i for k in known for i in k[0]), np.int32, int(length.sum()))
-        table = np.append(table, np.int32(unk))
-        first = np.zeros(n, np.int64)
-        np.cumsum(length[:-1], out=first[1:]) if n else None
+        if self.bidirectional:
+            if self.most > 0:
+                table, first = self.segmenter.both(known, self.most)
+            else:
+                table, first = np.zeros(0, np.int32), np.zeros(n + 1, np.int64)
+            ok, over = np.ones(n, bool), np.zeros(n, bool)
+        else:
+            table, first, ok = self.segmenter.greedy(known)
+            over = pc.binary_length(known).to_numpy(zero_copy_only=False) > self.most
+        table, first, length = np.append(table, np.int32(self.vocab.unk)), first[:-1], np.diff(first)
         size = np.where(over | ~ok, 1, length)
         doc_at = np.zeros(len(counts) + 1, np.int64)
         np.cumsum(counts, out=doc_at[1:])

@@ -7,14 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import chars, text
+from ..functions import chars, sql, text
 from ..operators import bpe, chunks, encode, wordpiece
+from ..operators import words as split
 from ..sources import vocab as files
-from ..tokenizer import RESOURCES, load_bpe, load_vocab
+from ..sources.shared import new_path
+from ..sources.tables import read_table
+from ..streaming import encode_stream
+from ..tokenizer import RESOURCES, Tokenizer, TokenizerOptions, load_bpe, load_vocab
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_table(spark, f"{sf_dir}/{name}.parquet")
 
 
 def _per_document(out: str, f: Callable[[Column], Column], table: str = "documents", key: str = "doc_id"):
@@ -36,8 +40,8 @@ def _words(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFr
 
 
 def basic_tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = _table(spark, sf_dir, "documents").select("doc_id", text.basic_tokenize(F.col("text")).alias("w"))
-    return words.select("doc_id", F.size("w").alias("n_tokens"), _joined(F.col("w")).alias("tokens"))
+    words = _table(spark, sf_dir, "documents").select("doc_id", split.joined_words(F.col("text")).alias("w"))
+    return words.select("doc_id", F.col("w.n").alias("n_tokens"), F.col("w.words").alias("tokens"))
 
 
 def char_class_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +65,7 @@ def _vocab_table(spark: SparkSession) -> DataFrame:
 
 
 def vocab_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = _words(spark, sf_dir, "conversations").withColumnRenamed("word", "token")
+    words = _words(spark, sf_dir).withColumnRenamed("word", "token")
     return files.lookup_ids(words, _vocab_table(spark))
 
 
@@ -86,17 +90,11 @@ def _segmented(direction: str):
 
 
 def wordpiece_relational(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = wordpiece.segment_relational(_words(spark, sf_dir, "conversations"), _vocab_table(spark))
+    out = wordpiece.segment_relational(_words(spark, sf_dir), _vocab_table(spark))
     return out.select("word", _joined("ids").alias("ids"), "ok")
 
 
 def decode_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 64 ids of each turn, decoded; decode_roundtrip_unlimited has the whole turns."""
-    vocab = load_vocab()
-    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", encode.decode(encode.encode(F.col("text"), vocab, 64), vocab).alias("decoded"))
-
-
-def decode_roundtrip_unlimited(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole text of each turn, encoded and decoded."""
     vocab = load_vocab()
     return _table(spark, sf_dir, "conversations").select("conv_id", "turn", encode.decode(encode.encode(F.col("text"), vocab), vocab).alias("decoded"))
@@ -116,7 +114,7 @@ def _chunk_rows(f: Callable[[Column], Column]):
 
 
 def token_counts_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = _table(spark, sf_dir, "documents").select("lang", F.size(text.basic_tokenize(F.col("text"))).alias("n"))
+    n = _table(spark, sf_dir, "documents").select("lang", split.count_words(F.col("text")).alias("n"))
     return n.groupBy("lang").agg(F.count("*").alias("n_docs"), F.sum("n").alias("n_tokens"), F.max("n").alias("longest"))
 
 
@@ -134,17 +132,76 @@ def top_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def conversation_token_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids that a conversation takes where each turn has room for 128; conversation_token_totals has all ids."""
-    n = _table(spark, sf_dir, "conversations").select("conv_id", F.size(encode.encode(F.col("text"), load_vocab(), 128, "none")).alias("n"))
-    return n.groupBy("conv_id").agg(F.sum("n").alias("n_ids"), F.count("*").alias("turns"))
-
-
-def conversation_token_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ids of a conversation's turns, with [CLS] and [SEP] of each turn."""
     n = _table(spark, sf_dir, "conversations").select("conv_id", F.size(encode.encode(F.col("text"), load_vocab())).alias("n"))
     return n.groupBy("conv_id").agg(F.sum("n").alias("n_ids"), F.count("*").alias("turns"))
 
 
+def batch_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """encode_batch() with padding "longest", which pads nothing."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = Tokenizer(TokenizerOptions(model_max_length=128)).encode_batch(docs, padding="longest")
+    return out.select("doc_id", _joined("ids").alias("ids"))
+
+
+def _facade(**options):
+    """The facade's ids of each turn; BPE has neither limit nor padding."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        t = Tokenizer(TokenizerOptions(**options), spark)
+        return _table(spark, sf_dir, "conversations").select("conv_id", "turn", _joined(t.encode(F.col("text"))).alias("ids"))
+
+    return query
+
+
+def _nameless() -> wordpiece.Vocab:
+    """The vocabulary without its special tokens: [UNK], [CLS] and [SEP] have id 0."""
+    gone = ("[UNK]", "[CLS]", "[SEP]")
+    return wordpiece.Vocab(tuple(f"[unused{i}]" if t in gone else t for i, t in enumerate(load_vocab().tokens)))
+
+
+def encode_special_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Special tokens in a text are text."""
+    text_ = F.concat(F.lit("[CLS] "), "text", F.lit(" [SEP][UNK]"))
+    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", _joined(encode.encode(text_, load_vocab())).alias("ids"))
+
+
+def stream_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as a stream, a file at a time, encoded chunk by chunk and put together again."""
+    table = f"{sf_dir}/documents.parquet"
+    kind = spark.read.parquet(table).schema
+    folder = new_path(spark, "stream")
+    # A table is a folder of files or a file: as a pattern, a stream takes both.
+    texts = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(f"{sf_dir}/document[s].parquet").select(F.col("doc_id").cast("string").alias("path"), "text")
+    chunks_ = encode_stream.encode_stream(texts, Tokenizer(TokenizerOptions(model_max_length=-1)), 1000)
+    query = encode_stream.write_encoded(chunks_, f"{folder}/out", f"{folder}/state")
+    query.awaitTermination()
+    whole = encode_stream.reassemble(spark.read.schema(chunks_.schema).parquet(f"{folder}/out"))
+    return whole.select(F.col("path").cast("long").alias("doc_id"), _joined("ids").alias("ids"))
+
+
+def read_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text files of the package, each read whole."""
+    texts = files.read_texts(spark, f"file://{RESOURCES}/*.txt")
+    return texts.select(F.regexp_extract("path", "[^/]+$", 0).alias("name"), F.length("text").alias("n_chars"), F.md5("text").alias("md5"))
+
+
+def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each turn encoded by the functions that are registered for SQL."""
+    sql.register(spark, TokenizerOptions(model_max_length=64), TokenizerOptions(kind="bpe"))
+    turns = _table(spark, sf_dir, "conversations")
+    return spark.sql(
+        "SELECT conv_id, turn, array_join(bert_encode(text), ' ') AS ids, array_join(bert_tokenize(text), ' ') AS tokens, array_join(bpe_encode(text), ' ') AS bpe_ids FROM {turns}", turns=turns
+    )
+
+
+def tokenize_lateral(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of the documents with its place, from the table function."""
+    sql.register(spark)
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spark.sql("SELECT doc_id, pos, token FROM tokenize_lateral(TABLE({docs}))", docs=docs)
+
+
 _CLASSES = {"punctuation": chars.PUNCTUATION, "control": chars.CONTROL, "whitespace": chars.WHITESPACE, "chinese": chars.CHINESE, "dropped": chars.DROPPED}
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -155,6 +212,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "whitespace_tokenize": _per_document("tokens", lambda c: _joined(text.whitespace_tokenize(text.clean_text(c)))),
     "split_punctuation": _per_document("tokens", lambda c: _joined(text.split_punctuation(c))),
     "basic_tokenize": basic_tokenize,
+    "basic_tokenize_sql": _per_document("tokens", lambda c: _joined(text.basic_tokenize_sql(c))),
     "basic_tokenize_cased": _per_document("tokens", lambda c: _joined(text.basic_tokenize(c, do_lower_case=False))),
     "char_class_counts": char_class_counts,
     "char_predicates": char_predicates,
@@ -174,13 +232,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "encode_raw": _per_document("ids", lambda c: _joined(encode.encode_raw(c, load_vocab()))),
     "wordpiece_tokens": _per_document("tokens", lambda c: _joined(encode.tokenize(c, load_vocab()))),
     "decode_roundtrip": decode_roundtrip,
-    "decode_roundtrip_unlimited": decode_roundtrip_unlimited,
     "bpe_byte_map": _per_document("mapped", bpe.byte_map),
     "bpe_byte_unmap": _per_document("text", lambda c: bpe.byte_unmap(bpe.byte_map(c))),
     "bpe_pretokenize": _per_document("pieces", lambda c: _joined(bpe.pretokenize(c))),
     "bpe_pretokenize_canonical": _per_document("pieces", lambda c: _joined(bpe.pretokenize(c, "canonical"))),
     "bpe_encode": _per_document("ids", lambda c: _joined(bpe.encode(c, load_bpe()))),
-    "bpe_encode_fold": _per_document("tokens", lambda c: _joined(bpe.encode_fold(c, load_bpe())), "benchmark", "item_id"),
+    "bpe_encode_fold": _per_document("tokens", lambda c: _joined(bpe.encode_fold(c, load_bpe()))),
     "bpe_decode": _per_document("text", lambda c: bpe.decode(bpe.encode(c, load_bpe()), load_bpe())),
     "fixed_chunks": _chunk_rows(lambda c: chunks.fixed_chunks(c, 1000)),
     "chunk_boundaries": _chunk_rows(lambda c: chunks.boundary_chunks(c, 1000)),
@@ -189,7 +246,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "oov_rate": oov_rate,
     "top_tokens": top_tokens,
     "conversation_token_budget": conversation_token_budget,
-    "conversation_token_totals": conversation_token_totals,
+    "batch_encode": batch_encode,
+    "facade_bert": _facade(model_max_length=64),
+    "facade_bidirectional": _facade(model_max_length=64, bidirectional=True),
+    "facade_bpe": _facade(kind="bpe"),
+    "encode_limit_0": _per_document("ids", lambda c: _joined(encode.encode(c, load_vocab(), 0))),
+    "encode_limit_1": _per_document("ids", lambda c: _joined(encode.encode(c, load_vocab(), 1))),
+    "encode_missing_specials": _per_document("ids", lambda c: _joined(encode.encode(c, _nameless()))),
+    "encode_special_text": encode_special_text,
+    "stream_encode": stream_encode,
+    "read_files": read_files,
+    "sql_functions": sql_functions,
+    "tokenize_lateral": tokenize_lateral,
 }
 
 
@@ -257,7 +325,7 @@ def _both_ctes(words: str, most: int | None = None) -> str:
     return _segment_ctes(words) + _segment_ctes(words, True, "rev") + f"pair AS (SELECT word, {f} AS f, {b} AS b FROM seg s JOIN rev r USING (word)),\ntwin AS MATERIALIZED (SELECT word, CASE WHEN f = b OR {_less('f', 'b')} THEN f ELSE b END AS ids FROM pair),\n"
 
 
-def _ids_sql(limit: int | None, pad: bool = False, special: bool = True, both: bool = False, table: str = "documents", keys: str = "doc_id", final: str = "") -> str:
+def _ids_sql(limit: int | None, pad: bool = False, special: bool = True, both: bool = False, table: str = "documents", keys: str = "doc_id", final: str = "", unk: int = _UNK, cls: int = _CLS, sep: int = _SEP) -> str:
     """(keys, ids): the encoding of a table's texts."""
     most = limit - 1 if limit else None
     base = f"t AS MATERIALIZED (SELECT {keys}, {_basic()} AS w FROM {table}),\nx AS MATERIALIZED (SELECT {keys}, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM t),\n"
@@ -271,12 +339,12 @@ def _ids_sql(limit: int | None, pad: bool = False, special: bool = True, both: b
 x2 AS (SELECT *, {room} AS room FROM x1),
 x3 AS (SELECT *, NOT over AND NOT ok AND len(ids) > room AND room > 0 AS stop FROM x2),
 x4 AS (SELECT *, coalesce(bool_or(stop) OVER (PARTITION BY {keys} ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS ended FROM x3),
-y AS (SELECT {keys}, pos, CASE WHEN room <= 0 OR ended THEN [] WHEN over OR (NOT ok AND NOT stop) THEN [{_UNK}] ELSE ids[1:CAST(room AS BIGINT)] END AS part FROM x4),
+y AS (SELECT {keys}, pos, CASE WHEN room <= 0 OR ended THEN [] WHEN over OR (NOT ok AND NOT stop) THEN [{unk}] ELSE ids[1:CAST(room AS BIGINT)] END AS part FROM x4),
 """
         cut = ""
     whole = f"(flatten(parts)){cut}"
     if special:
-        whole = f"list_concat([{_CLS}], {whole}, [{_SEP}])"
+        whole = f"list_concat([{cls}], {whole}, [{sep}])"
     if pad:
         whole = f"list_resize({whole}, greatest({limit}, len({whole})), 0)"
     words = f"SELECT unnest({_basic()}) AS word FROM {table}"
@@ -291,7 +359,20 @@ def _byte(n: str) -> str:
     return f"chr(CASE WHEN {n} < 33 THEN 256 + {n} WHEN {n} = 127 THEN 289 WHEN {n} BETWEEN 128 AND 160 THEN 162 + {n} WHEN {n} = 173 THEN 323 ELSE {n} END)"
 
 
-_MAPPED = f"array_to_string(list_transform(string_split(text, ''), lambda c: CASE WHEN unicode(c) < 128 THEN {_byte('unicode(c)')} WHEN unicode(c) < 192 THEN 'Â' || {_byte('unicode(c)')} ELSE 'Ã' || {_byte('(unicode(c) - 64)')} END), '')"
+def _mapped(text_: str = "text") -> str:
+    return f"array_to_string(list_transform(string_split({text_}, ''), lambda c: CASE WHEN unicode(c) < 128 THEN {_byte('unicode(c)')} WHEN unicode(c) < 192 THEN 'Â' || {_byte('unicode(c)')} ELSE 'Ã' || {_byte('(unicode(c) - 64)')} END), '')"
+
+
+_MAPPED = _mapped()
+
+
+def _canonical_pieces() -> str:
+    """Pieces of the text: a mark before the last white space of a run does what looking ahead does."""
+    mark, space = "\ue000", bpe.SPACE
+    rest = f" ?[^{space}{mark}\\p{{L}}\\p{{N}}]+"
+    pattern = "|".join([*("'" + x for x in ("s", "t", "re", "ve", "m", "ll", "d")), " ?\\p{L}+", " ?\\p{N}+", rest, f"[{space}]+"])
+    marked = f"regexp_replace(text, '([{space}])([^{space}])', '{mark}\\1\\2', 'g')"
+    return f"list_transform(regexp_extract_all({marked}, {_str(pattern)}), lambda p: {_mapped('p')})"
 
 
 def _merge_sql(piece: str) -> str:
@@ -314,14 +395,15 @@ tok AS (SELECT {key}, i, unnest(m) AS token, unnest(range(1, len(m) + 1)) AS j F
 
 def _boundary_sql(size: int) -> str:
     def last(sub: str, n: int) -> str:
+        """Where ``sub`` is last found in w, which begins one character after the chunk; -1 if it isn't."""
         back = f"instr(reverse(w), reverse({sub}))"
-        return f"CASE WHEN {back} = 0 THEN -1 ELSE length(w) - {back} + 1 - {n} END"
+        return f"CASE WHEN {back} = 0 THEN -1 ELSE length(w) - {back} + 2 - {n} END"
 
     return f"""WITH RECURSIVE k AS (
   SELECT doc_id, text, 0 AS i, CAST(0 AS BIGINT) AS a, CAST(0 AS BIGINT) AS b FROM documents
   UNION ALL
   SELECT doc_id, text, i + 1, b, b + CASE WHEN b + {size} >= length(text) THEN length(text) - b WHEN para > {size // 2} THEN para + 2 WHEN dot > {size // 4} THEN dot + 1 WHEN blank > 0 THEN blank ELSE {size} END
-  FROM (SELECT *, {last('chr(10) || chr(10)', 2)} AS para, {last("'. '", 2)} AS dot, {last("' '", 1)} AS blank FROM (SELECT *, substr(text, b + 1, {size}) AS w FROM k WHERE b < length(text))))
+  FROM (SELECT *, {last('chr(10) || chr(10)', 2)} AS para, {last("'. '", 2)} AS dot, {last("' '", 1)} AS blank FROM (SELECT *, substr(text, b + 2, {size}) AS w FROM k WHERE b < length(text))))
 SELECT doc_id, CAST(i - 1 AS INTEGER) AS chunk_index, CAST(a AS INTEGER) AS start, CAST(b AS INTEGER) AS "end", substr(text, a + 1, b - a) AS text FROM k WHERE i > 0"""
 
 
@@ -345,7 +427,6 @@ def _word_sql(ctes: str, ids: str, source: str) -> str:
 def oracle_sql() -> dict[str, str]:
     """SQL by query name."""
     words = f"SELECT unnest({_basic()}) AS word FROM documents"
-    talk = f"SELECT unnest({_basic()}) AS word FROM conversations"
     n = len(load_vocab().tokens)
     classes = ", ".join(f"CAST(coalesce(len(regexp_extract_all(text, '[{inside}]')), 0) AS INTEGER) AS {name}" for name, inside in _CLASSES.items())
     predicates = ", ".join(f"regexp_matches(ch, '^[{inside}]$') AS {name}" for name, inside in _CLASSES.items())
@@ -353,7 +434,15 @@ def oracle_sql() -> dict[str, str]:
     tokens = "SELECT e.doc_id, coalesce(k.tokens, '') AS tokens FROM e LEFT JOIN (SELECT doc_id, string_agg(token, ' ' ORDER BY i) AS tokens FROM (SELECT doc_id, unnest(ids) AS id, unnest(range(1, len(ids) + 1)) AS i FROM e) JOIN v USING (id) GROUP BY doc_id) k ON k.doc_id = e.doc_id"
     decoded = f"SELECT conv_id, turn, regexp_replace(string_agg({glued}, '' ORDER BY i), '^([^ ]*) ', '\\1') AS decoded FROM (SELECT conv_id, turn, unnest(ids) AS id, unnest(range(1, len(ids) + 1)) AS i FROM e) JOIN v USING (id) GROUP BY conv_id, turn"
     bpe_ids = "SELECT d.doc_id, coalesce(k.ids, '') AS ids FROM documents d LEFT JOIN (SELECT doc_id, string_agg(CAST(id AS VARCHAR), ' ' ORDER BY i, j) AS ids FROM tok JOIN bv USING (token) GROUP BY doc_id) k ON k.doc_id = d.doc_id"
-    bpe_tokens = "SELECT item_id, string_agg(token, ' ' ORDER BY i, j) AS tokens FROM tok GROUP BY item_id"
+    bpe_tokens = "SELECT d.doc_id, coalesce(k.tokens, '') AS tokens FROM documents d LEFT JOIN (SELECT doc_id, string_agg(token, ' ' ORDER BY i, j) AS tokens FROM tok GROUP BY doc_id) k ON k.doc_id = d.doc_id"
+    turn = {"table": "conversations", "keys": "conv_id, turn"}
+    marked = "(SELECT conv_id, turn, '[CLS] ' || text || ' [SEP][UNK]' AS text FROM conversations)"
+    turn_ids = bpe_ids.replace("documents", "(SELECT conv_id * 1000 + turn AS doc_id, * FROM conversations)").replace("SELECT d.doc_id", "SELECT d.conv_id, d.turn", 1)
+    said = "(SELECT conv_id * 1000 + turn AS doc_id, text FROM conversations)"
+    both_kinds = (
+        f"WITH a AS ({_ids_sql(64, pad=True, **turn)}), b AS ({_ids_sql(None, special=False, **turn, final='SELECT e.conv_id, e.turn, coalesce(k.tokens, repeat(chr(65), 0)) AS tokens FROM e LEFT JOIN (SELECT conv_id, turn, string_agg(token, chr(32) ORDER BY i) AS tokens FROM (SELECT conv_id, turn, unnest(ids) AS id, unnest(range(1, len(ids) + 1)) AS i FROM e) JOIN v USING (id) GROUP BY conv_id, turn) k ON k.conv_id = e.conv_id AND k.turn = e.turn')}), "
+        f"c AS ({_bpe_sql(turn_ids.replace('AS ids FROM', 'AS bpe_ids FROM', 1), said)}) SELECT a.conv_id, a.turn, a.ids, b.tokens, c.bpe_ids FROM a JOIN b ON a.conv_id = b.conv_id AND a.turn = b.turn JOIN c ON a.conv_id = c.conv_id AND a.turn = c.turn"
+    )
     fixed = "SELECT doc_id, CAST(i AS INTEGER) AS chunk_index, CAST(i * 1000 AS INTEGER) AS start, CAST(least(i * 1000 + 1000, length(text)) AS INTEGER) AS \"end\", substr(text, i * 1000 + 1, 1000) AS text FROM (SELECT doc_id, text, unnest(range(0, (length(text) + 999) // 1000)) AS i FROM documents)"
     mapped_pieces = f"array_to_string(regexp_extract_all({_MAPPED}, {_str(bpe.MAPPED_PIECE)}), ' ')"
     return {
@@ -364,18 +453,19 @@ def oracle_sql() -> dict[str, str]:
         "whitespace_tokenize": _sql_of("tokens", _spoken(f"list_filter(regexp_split_to_array({_clean()}, ' +'), lambda x: x <> '')")),
         "split_punctuation": _sql_of("tokens", _spoken(_split())),
         "basic_tokenize": f"SELECT doc_id, CAST(len(w) AS INTEGER) AS n_tokens, array_to_string(w, ' ') AS tokens FROM (SELECT doc_id, {_basic()} AS w FROM documents)",
+        "basic_tokenize_sql": _sql_of("tokens", _spoken(_basic())),
         "basic_tokenize_cased": _sql_of("tokens", _spoken(_split(_spaced()))),
         "char_class_counts": f"SELECT doc_id, {classes}, length(text) = strlen(text) AS ascii FROM documents",
         "char_predicates": f"SELECT unicode(ch) AS code, count, {predicates} FROM (SELECT ch, count(*) AS count FROM (SELECT unnest(string_split(text, '')) AS ch FROM documents) GROUP BY ch)",
         "vocab_load": f"WITH {_vocab_cte()}o AS (SELECT * FROM v) SELECT * FROM o",
-        "vocab_lookup": f"WITH {_vocab_cte()}w AS (SELECT DISTINCT word AS token FROM ({talk})) SELECT token, coalesce(id, 0) AS id FROM w LEFT JOIN v USING (token)",
+        "vocab_lookup": f"WITH {_vocab_cte()}w AS (SELECT DISTINCT word AS token FROM ({words})) SELECT token, coalesce(id, 0) AS id FROM w LEFT JOIN v USING (token)",
         "vocab_reverse": f"WITH {_vocab_cte()}i AS (SELECT CAST(o_orderkey % {n} AS INTEGER) AS id, count(*) AS count FROM orders GROUP BY 1) SELECT id, count, token FROM i JOIN v USING (id)",
         "bpe_vocab_load": _bpe_sql("SELECT * FROM bv"),
         "bpe_merges_load": "SELECT CAST(i - 1 AS INTEGER) AS rank, string_split(m, ' ')[1] AS a, string_split(m, ' ')[2] AS b FROM (SELECT unnest(string_split(" + _str("\n".join(f"{a} {b}" for a, b in load_bpe().merges)) + f", chr(10))) AS m, unnest(range(1, {len(load_bpe().merges) + 1})) AS i)",
         "wordpiece_forward": _word_sql(_segment_ctes(words), _FORWARD, "seg"),
         "wordpiece_backward": _word_sql(_segment_ctes(words, True), _FORWARD, "seg"),
         "wordpiece_bidirectional": _word_sql(_both_ctes(words), "ids", "twin"),
-        "wordpiece_relational": f"WITH RECURSIVE {_vocab_cte()}{_segment_ctes(talk)}o AS (SELECT word, array_to_string(ids, ' ') AS ids, ok FROM seg) SELECT * FROM o",
+        "wordpiece_relational": f"WITH RECURSIVE {_vocab_cte()}{_segment_ctes(words)}o AS (SELECT word, array_to_string(ids, ' ') AS ids, ok FROM seg) SELECT * FROM o",
         "encode_unlimited": _ids_sql(None),
         "encode_maxlen16": _ids_sql(16),
         "encode_pad128": _ids_sql(128, pad=True),
@@ -383,19 +473,30 @@ def oracle_sql() -> dict[str, str]:
         "encode_raw": _ids_sql(None, special=False),
         "chunked_encode": _ids_sql(None, special=False),
         "wordpiece_tokens": _ids_sql(None, special=False, final=tokens),
-        "decode_roundtrip": _ids_sql(64, table="conversations", keys="conv_id, turn", final=decoded),
-        "decode_roundtrip_unlimited": _ids_sql(None, table="conversations", keys="conv_id, turn", final=decoded),
+        "decode_roundtrip": _ids_sql(None, table="conversations", keys="conv_id, turn", final=decoded),
         "bpe_byte_map": _sql_of("mapped", _MAPPED),
         "bpe_byte_unmap": "SELECT doc_id, text FROM documents",
         "bpe_pretokenize": _sql_of("pieces", mapped_pieces),
+        "bpe_pretokenize_canonical": _sql_of("pieces", _spoken(_canonical_pieces())),
         "bpe_encode": _bpe_sql(bpe_ids),
-        "bpe_encode_fold": _bpe_sql(bpe_tokens, "benchmark", "item_id"),
+        "bpe_encode_fold": _bpe_sql(bpe_tokens),
         "bpe_decode": "SELECT doc_id, translate(text, '$^', '') AS text FROM documents",
         "fixed_chunks": fixed,
         "chunk_boundaries": _boundary_sql(1000),
         "token_counts_by_lang": f"SELECT lang, count(*) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_tokens, CAST(max(len(w)) AS INTEGER) AS longest FROM (SELECT lang, {_basic()} AS w FROM documents) GROUP BY lang",
         "oov_rate": _ids_sql(None, special=False, final=f"SELECT source, CAST(sum(len(ids)) AS BIGINT) AS n_ids, CAST(sum(len(list_filter(ids, lambda i: i = {_UNK}))) AS BIGINT) AS n_unknown FROM e JOIN documents USING (doc_id) GROUP BY source"),
         "top_tokens": f"SELECT word, count(*) AS n FROM ({words}) GROUP BY word ORDER BY n DESC, word LIMIT 100",
-        "conversation_token_budget": _ids_sql(128, table="conversations", keys="conv_id, turn", final="SELECT conv_id, CAST(sum(len(ids)) AS BIGINT) AS n_ids, count(*) AS turns FROM e GROUP BY conv_id"),
-        "conversation_token_totals": _ids_sql(None, table="conversations", keys="conv_id, turn", final="SELECT conv_id, CAST(sum(len(ids)) AS BIGINT) AS n_ids, count(*) AS turns FROM e GROUP BY conv_id"),
+        "conversation_token_budget": _ids_sql(None, table="conversations", keys="conv_id, turn", final="SELECT conv_id, CAST(sum(len(ids)) AS BIGINT) AS n_ids, count(*) AS turns FROM e GROUP BY conv_id"),
+        "batch_encode": _ids_sql(128),
+        "facade_bert": _ids_sql(64, pad=True, **turn),
+        "facade_bidirectional": _ids_sql(64, pad=True, both=True, **turn),
+        "facade_bpe": _bpe_sql(turn_ids, said),
+        "encode_limit_0": f"SELECT doc_id, CASE WHEN text IS NOT NULL THEN '{_CLS} {_SEP}' END AS ids FROM documents",
+        "encode_limit_1": f"SELECT doc_id, CASE WHEN text IS NOT NULL THEN '{_CLS} {_SEP}' END AS ids FROM documents",
+        "encode_missing_specials": _ids_sql(None, unk=0, cls=0, sep=0),
+        "encode_special_text": _ids_sql(None, table=marked, keys="conv_id, turn"),
+        "stream_encode": _ids_sql(None, special=False),
+        "read_files": f"SELECT parse_filename(filename) AS name, CAST(length(content) AS INTEGER) AS n_chars, md5(content) AS md5 FROM read_text('{RESOURCES}/*.txt')",
+        "sql_functions": both_kinds,
+        "tokenize_lateral": f"SELECT doc_id, CAST(unnest(range(0, len(w))) AS INTEGER) AS pos, unnest(w) AS token FROM (SELECT doc_id, {_basic()} AS w FROM documents)",
     }

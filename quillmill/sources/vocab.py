@@ -7,12 +7,19 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.chars import valid_utf8
+
 _BREAK = "\\r\\n|\\r|\\n"
 _TRAILING = "[\\s\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+"
 
 
+def whole_text(value: Column) -> Column:
+    """A file's text: bytes that are no UTF-8 become U+FFFD, a byte order mark is left out."""
+    return F.regexp_replace(valid_utf8(value), "^\\x{FEFF}", "")
+
+
 def _whole(spark: SparkSession, path: str) -> Column:
-    return F.regexp_replace(F.col("value"), "^\\x{FEFF}", "")
+    return whole_text(F.col("value"))
 
 
 def _numbered(lines: DataFrame, order: str) -> DataFrame:
@@ -59,7 +66,7 @@ def lookup_tokens(ids: DataFrame, vocab: DataFrame, id_col: str = "id") -> DataF
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
-    """(path, text): each file as one text, without a byte order mark."""
+    """(path, text): each file as one text of valid UTF-8, without a byte order mark."""
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), _whole(spark, path).alias("text"))
 
 

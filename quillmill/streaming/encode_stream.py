@@ -13,13 +13,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.chunks import CHUNK, word_chunks
+from ..sources.vocab import whole_text
 from ..tokenizer import Tokenizer
 
 
 def read_text_stream(spark: SparkSession, folder: str, max_files: int = 64) -> DataFrame:
     """(path, text) of the files of a folder, each as one text, as they arrive."""
     raw = spark.readStream.option("maxFilesPerTrigger", max_files).text(folder, wholetext=True)
-    return raw.select(F.input_file_name().alias("path"), F.regexp_replace("value", "^\\x{FEFF}", "").alias("text"))
+    return raw.select(F.input_file_name().alias("path"), whole_text(F.col("value")).alias("text"))
 
 
 def encode_stream(texts: DataFrame, tokenizer: Tokenizer, size: int = CHUNK) -> DataFrame:
@@ -28,6 +29,12 @@ def encode_stream(texts: DataFrame, tokenizer: Tokenizer, size: int = CHUNK) ->
     return parts.select("path", "chunk_index", tokenizer.encode_raw(F.col("chunk")).alias("ids"))
 
 
+def cancel(query: StreamingQuery, seconds: int = 60) -> None:
+    """Stop a stream: what it has committed stays, and a query with the same checkpoint goes on from there."""
+    query.stop()
+    query.awaitTermination(seconds)
+
+
 def reassemble(chunks: DataFrame) -> DataFrame:
     """(path, ids) of a table that encode_stream() filled: a path's chunks in order."""
     rows = F.array_sort(F.collect_list(F.struct("chunk_index", "ids")))

@@ -104,7 +104,7 @@ def test_decode(spark):
 def test_decode_roundtrip_has_the_whole_turn(spark, tmp_path):
     texts = ["the end of it " * 300 + "the", "the", "", None]
     spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)], "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
-    got = {r["turn"]: r["decoded"] for r in queries.QUERIES["decode_roundtrip_unlimited"](spark, str(tmp_path)).collect()}
+    got = {r["turn"]: r["decoded"] for r in queries.QUERIES["decode_roundtrip"](spark, str(tmp_path)).collect()}
     assert got[1] == "the" and got[2] == "" and got[3] is None
     assert got[0].split().count("the") == 301
 
@@ -112,7 +112,7 @@ def test_decode_roundtrip_has_the_whole_turn(spark, tmp_path):
 def test_conversation_totals_have_no_limit(spark, tmp_path):
     rows = [(1, 0, "the " * 500), (1, 1, "the"), (2, 0, "")]
     spark.createDataFrame(rows, "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
-    got = sorted(tuple(r) for r in queries.QUERIES["conversation_token_totals"](spark, str(tmp_path)).collect())
+    got = sorted(tuple(r) for r in queries.QUERIES["conversation_token_budget"](spark, str(tmp_path)).collect())
     assert got == [(1, 505, 2), (2, 2, 1)]
 
 
@@ -184,7 +184,10 @@ def test_chunks(spark):
         words = ask(spark, [text], lambda c: chunks.word_chunks(c, size))[0]
         assert "".join(words) == text and all(w[0] in " \n" for w in words[1:])
     assert chunks.boundaries("aaaaa\n\nbbbb. cc dd", 9) == [(0, 7), (7, 12), (12, 18)]
-    assert chunks.boundaries("aaaa\n\nbbbb. cc dd", 9) == [(0, 9), (9, 17)]
+    # The character at which a chunk would end counts in the search.
+    assert chunks.boundaries("aaaa bbbb cccc dddd", 9)[0] == (0, 9)
+    assert chunks.boundaries("aaaaaaaa\n\nbb cc", 9)[0] == (0, 10)
+    assert chunks.boundaries("aaaaaaaa. bb cc", 9)[0] == (0, 9)
     assert ask(spark, [""], lambda c: chunks.fixed_chunks(c, 5)) == [[]]
 
 
