@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import read_table
 from . import decontaminate, embedding_dedup, html_text, langid, mixing, near_dedup, sharding, substring_index, suffix_dedup, url_filter
 
 #: Target weights of sources: the hot one has four times the share of any other.
@@ -19,7 +20,7 @@ BLOCKED_DOMAINS = ("spam-farm.example.org", "cheap-pills.example.com")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_table(spark, f"{sf_dir}/{name}.parquet")
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,8 +58,8 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pairs of near-duplicate embeddings, up to copies: of equal embeddings only the smallest id has further pairs (embedding_dedup.expand_copies gives the others)."""
-    return embedding_dedup.near_pairs(_table(spark, sf_dir, "embeddings"))
+    """Each embedding's class of near-duplicates and the number of its links."""
+    return embedding_dedup.near_classes(_table(spark, sf_dir, "embeddings"))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,27 +121,29 @@ SELECT page_id, rule IS NOT NULL AS blocked, rule FROM u LEFT JOIN m USING (page
 """
 
 _SIM = f"""
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings WHERE embedding IS NOT NULL AND list_bool_or(list_transform(embedding, lambda x: x <> 0))),
-f AS (SELECT min(vec_id) AS id, e FROM v GROUP BY e),
-n AS (SELECT id, e, sqrt(list_inner_product(e, e)) AS l FROM f)
-SELECT f.id AS a, v.vec_id AS b, 1.0::DOUBLE AS cosine FROM f JOIN v USING (e) WHERE v.vec_id <> f.id
-UNION ALL
-SELECT x.id, y.id, round(list_inner_product(x.e, y.e) / (x.l * y.l), 6) FROM n x JOIN n y ON x.id < y.id
-WHERE list_inner_product(x.e, y.e) / (x.l * y.l) >= {embedding_dedup.MIN_COSINE}
+WITH RECURSIVE v AS (SELECT DISTINCT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND list_bool_or(list_transform(embedding, lambda x: x <> 0))),
+n AS MATERIALIZED (SELECT row_number() OVER (ORDER BY id, e) AS k, id, e, sqrt(list_inner_product(e, e)) AS l FROM v),
+p AS MATERIALIZED (SELECT x.k AS a, y.k AS b FROM n x JOIN n y ON x.k <> y.k AND len(x.e) = len(y.e) AND (x.e = y.e OR list_inner_product(x.e, y.e) / (x.l * y.l) >= {embedding_dedup.MIN_COSINE})),
+reach AS (SELECT k, k AS r FROM n UNION SELECT p.b, reach.r FROM reach JOIN p ON p.a = reach.k),
+c AS (SELECT reach.k, min(n.id) AS class_id FROM reach JOIN n ON n.k = reach.r GROUP BY reach.k)
+SELECT n.id AS vec_id, c.class_id, (SELECT count(*) FROM p WHERE p.a = n.k) AS n_links FROM n JOIN c USING (k)
 """
 
 _WORD = "[0-9a-z\\x{80}-\\x{10FFFF}]+"
-_GRAMS = "CASE WHEN len(w) < 5 THEN [list_aggregate(w, 'string_agg', ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: list_aggregate(w[i:i+4], 'string_agg', ' ')) END"
+_WORDS = f"regexp_extract_all(replace(replace(lower(text), '\u03c2', '\u03c3'), 'i\u0307', 'i'), '{_WORD}')"
+# An item's grams have five words, or all of its words if it has fewer; a document's have as many as the items' have.
 _DECONTAMINATION_SQL = f"""
-WITH i AS (
-  SELECT item_id, unnest(list_distinct({_GRAMS})) AS g
-  FROM (SELECT item_id, regexp_extract_all(lower(text), '{_WORD}') AS w FROM benchmark) WHERE len(w) > 0),
+WITH t AS (SELECT DISTINCT item_id, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+i AS (
+  SELECT item_id, w, least(5, len(w)) AS k, unnest(list_distinct(list_transform(range(1, len(w) - least(5, len(w)) + 2), lambda i: list_aggregate(w[i:i + least(5, len(w)) - 1], 'string_agg', ' ')))) AS g
+  FROM t WHERE len(w) > 0),
+n AS (SELECT item_id, w, count(*) AS n FROM i GROUP BY item_id, w),
+x AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
 d AS (
-  SELECT doc_id, unnest(list_distinct({_GRAMS})) AS g
-  FROM (SELECT doc_id, regexp_extract_all(lower(text), '{_WORD}') AS w FROM documents) WHERE len(w) > 0),
-n AS (SELECT item_id, count(*) AS n FROM i GROUP BY item_id),
-m AS (SELECT doc_id, item_id, count(*) AS c FROM i JOIN d USING (g) GROUP BY doc_id, item_id)
-SELECT doc_id, item_id, round(c / n, 6) AS containment FROM m JOIN n USING (item_id) WHERE c / n >= {decontaminate.THRESHOLD}
+  SELECT r, doc_id, k, unnest(list_distinct(list_transform(range(1, len(w) - k + 2), lambda i: list_aggregate(w[i:i + k - 1], 'string_agg', ' ')))) AS g
+  FROM x, (SELECT DISTINCT k FROM i) WHERE len(w) >= k),
+m AS (SELECT r, doc_id, item_id, w, count(*) AS c FROM i JOIN d USING (k, g) GROUP BY r, doc_id, item_id, w)
+SELECT doc_id, item_id, round(max(c / n), 6) AS containment FROM m JOIN n USING (item_id, w) WHERE c / n >= {decontaminate.THRESHOLD} GROUP BY r, doc_id, item_id
 """
 
 _N = sharding.N_SHARDS
@@ -171,10 +174,28 @@ cuts AS (
 SELECT doc_id, CAST(coalesce((SELECT max(shard) FROM cuts WHERE a < p.c), 0) AS INTEGER) AS shard_id FROM d JOIN p USING (g)
 """
 
+
+
+def _repeats_sql(length: int, later_only: bool) -> str:
+    """Spans of words covered by windows that other documents (or such of smaller ids) have."""
+    return f"""
+WITH x AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents WHERE doc_id IS NOT NULL),
+p AS (SELECT r, doc_id, unnest(range(0, len(w) - {length} + 1)) AS s, w FROM x WHERE len(w) >= {length}),
+h AS MATERIALIZED (SELECT r, doc_id, s, md5_number(list_aggregate(w[s + 1:s + {length}], 'string_agg', ' ')) AS g FROM p),
+g AS (SELECT g, min(doc_id) AS first_doc FROM h GROUP BY g HAVING min(doc_id) <> max(doc_id)),
+m AS (SELECT r, doc_id, s, first_doc FROM h JOIN g USING (g){' WHERE first_doc < doc_id' if later_only else ''}),
+o AS (SELECT *, CASE WHEN s <= lag(s) OVER (PARTITION BY r ORDER BY s) + {length} THEN 0 ELSE 1 END AS fresh FROM m),
+q AS (SELECT *, sum(fresh) OVER (PARTITION BY r ORDER BY s ROWS UNBOUNDED PRECEDING) AS span FROM o)
+SELECT any_value(doc_id) AS doc_id, min(s) AS start_word, max(s) + {length} AS end_word, min(first_doc) AS first_doc FROM q GROUP BY r, span
+"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op1_url_filter": _URL_SQL,
     "op2_decontamination": _DECONTAMINATION_SQL,
+    "op3_substring_index": _repeats_sql(substring_index.LENGTH, True),
     "op4_sharding": _SHARDING_SQL,
     "op7_embedding_near_dedup": _SIM,
     "op8_mixing": _MIXING_SQL,
+    "op10_suffix_dedup": _repeats_sql(suffix_dedup.LENGTH, False),
 }
