@@ -9,10 +9,15 @@ similarity s meets in some table with probability (1 - (1 - s**rows)**side)**2:
 
 Every candidate that decides a group is verified by the exact Jaccard
 similarity of its shingle sets.  Inside a bucket each member is compared with
-the bucket's first one; members that this does not settle are compared with all
-others of their buckets that are not in their group yet.  So the groups are the
-connected components of *all* verified candidate pairs, with no cap on the size
-of a bucket and without listing the pairs of a large group of copies.
+the bucket's first one; members that this does not settle are compared with the
+others of their buckets that are not in their group yet.  Of these, pairs are left
+out that cannot be similar: their sizes differ too much, or their distances to the
+first one do (the Jaccard distance obeys the triangle inequality).  So the groups
+are the connected components of *all* verified candidate pairs, with no cap on the
+size of a bucket and without listing the pairs of a large group of copies.
+
+No text is shuffled: shingle sets are made where a document is read, for those that
+a Bloom filter of the candidates' ids lets through.
 """
 
 from __future__ import annotations
@@ -22,13 +27,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import bloom
 from . import textkit as tk
+from .graph import components
 from .shared import free_name, materialize, remove
 
 SHINGLE = 3
 ROWS = 2
 SIDE = 8
 THRESHOLD = 0.6
+#: Ids that are dropped by a broadcast (8 bytes each); more than these by a merge join.
+BROADCAST_IDS = 1_000_000
 
 
 def _seeds(n: int) -> np.ndarray:
@@ -84,9 +93,10 @@ def _bucket_members(batches):
         yield pa.RecordBatch.from_arrays([pa.array(key[other]), pa.array(first[other]), pa.array(doc[other])], ["key", "rep", "doc_id"])
 
 
-def _shingle_sets(batches, k: int):
-    """doc_id, __text -> doc_id and its sorted distinct shingle hashes as bytes."""
+def _shingle_sets(batches, k: int, words: np.ndarray):
+    """doc_id, __text -> doc_id and its sorted distinct shingle hashes as bytes, for what the Bloom filter lets through."""
     for batch in batches:
+        batch = batch.filter(pa.array(bloom.might_hold(words, batch.column(0).to_numpy())))
         ids = batch.column(0)
         for words in tk.word_chunks(batch.column(1)):
             sh, offs = tk.shingles(words, k)
@@ -110,49 +120,29 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def _verify(batches):
-    """a, b and their shingle bytes -> a, b, jaccard."""
+    """a, b and their shingle bytes -> a, b, jaccard and b's number of shingles."""
     for batch in batches:
         x, y = ([np.frombuffer(v.as_buffer(), np.uint64) for v in batch.column(i)] for i in (2, 3))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array([jaccard(p, q) for p, q in zip(x, y)], np.float64))], ["a", "b", "jaccard"])
+        found, size = np.array([jaccard(p, q) for p, q in zip(x, y)], np.float64), np.array([len(q) for q in y], np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found), pa.array(size)], ["a", "b", "jaccard", "size"])
 
 
 def _sets_of(docs: DataFrame, pairs: DataFrame, k: int) -> tuple[DataFrame, str]:
-    """Shingle sets of the documents in pairs (a, b): the one time that text is shuffled, by a merge join at any size."""
+    """Shingle sets of the documents in pairs (a, b), and of a few others."""
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = docs.join(ids.hint("merge"), "doc_id", "left_semi").mapInArrow(lambda it: _shingle_sets(it, k), "doc_id long, shingles binary")
-    return materialize(sets, "near-shingles")
+    ids, path = materialize(ids, "near-candidates")
+    words = docs.sparkSession.sparkContext.broadcast(bloom.build(ids, ids.count()))
+    sets = materialize(docs.mapInArrow(lambda it: _shingle_sets(it, k, words.value), "doc_id long, shingles binary"), "near-shingles")
+    remove(docs.sparkSession, path)
+    return sets
 
 
 def _verified(sets: DataFrame, pairs: DataFrame) -> tuple[DataFrame, str]:
-    """pairs (a, b) with their exact Jaccard similarity."""
+    """pairs (a, b) with their exact Jaccard similarity, and b's size; of an id with several texts, each of these."""
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("__x"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("__y"))
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "__x", "__y")
-    return materialize(joined.mapInArrow(_verify, "a long, b long, jaccard double"), "near-verified")
-
-
-def components(edges: DataFrame) -> tuple[DataFrame, str | None]:
-    """Connected components of (a, b): (doc_id, keep_id) of all ids but each component's smallest.
-
-    Alternating large-star and small-star rounds; each round is written to the
-    shared folder.  Stops when a round changes nothing.
-    """
-    spark = edges.sparkSession
-    now, path = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "near-star")
-    mark = None
-    while True:
-        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("__m")).select("u", F.least("u", "__m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        after, new = materialize(small, "near-star")
-        seen = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        remove(spark, path)
-        now, path = after, new
-        if mark == tuple(seen):
-            return now.select(F.col("u").alias("doc_id"), F.col("v").alias("keep_id")), path
-        mark = tuple(seen)
+    return materialize(joined.mapInArrow(_verify, "a long, b long, jaccard double, size long"), "near-verified")
 
 
 def near_duplicates(
@@ -164,12 +154,16 @@ def near_duplicates(
     side: int = SIDE,
     threshold: float = THRESHOLD,
 ) -> DataFrame:
-    """Groups of near-duplicates: (doc_id, keep_id, exact) for every document of a group of two or more.
+    """Groups of near-duplicates: (doc_id, keep_id, exact, n_links) for every document of a group of two or more.
 
-    ``keep_id`` is the smallest id of the group (the document that stays) and
+    ``keep_id`` is the smallest id of the group (the document that stays), its class;
     ``exact`` tells whether the document has the very word sequence of another
-    document with a smaller id.  Documents are compared by the sets of their word
-    ``shingle``-grams; those of fewer words have one shingle, all their words.
+    document with a smaller id.  ``n_links`` is the number of documents that it was
+    compared with and resembles: of copies, each is linked with the first of them
+    alone, and in a bucket what resembles its first one is not compared any further,
+    so a group's links hold it together, but are not all that could be drawn in it.
+    Documents are compared by the sets of their word ``shingle``-grams; those of
+    fewer words have one shingle, all their words.
 
     Defined cases: a null id cannot be named, so such rows are left out; null
     texts and texts without a word have no shingle and are in no group; rows that
@@ -179,7 +173,7 @@ def near_duplicates(
     their names, are not read.  Ties go to the smaller id.
     """
     spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lower(F.col(text_col)).alias("__text")).where("doc_id IS NOT NULL")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), tk.lowered(text_col).alias("__text")).where("doc_id IS NOT NULL")
     sig, sig_path = materialize(texts.mapInArrow(lambda it: _signatures(it, shingle, rows, side), "doc_id long, n_words long, seq1 long, seq2 long, keys array<long>"), "near-signatures")
     # Documents of the same words are one: only the first goes on.
     seq = ["seq1", "seq2", "n_words"]
@@ -198,24 +192,32 @@ def near_duplicates(
     sets, sets_path = _sets_of(texts, star, shingle)
     checked, checked_path = _verified(sets, star)
     good = checked.where(F.col("jaccard") >= threshold).select("a", "b")
-    # Members that their bucket's first one does not resemble: compared with all the others there.
-    failed = checked.where(F.col("jaccard") < threshold).select(F.col("a").alias("rep"), F.col("b").alias("doc_id"))
     used = [first_path, members_path, sets_path, checked_path, copies_path]
-    if not failed.isEmpty():
+    # Members that their bucket's first one does not resemble: compared with the others there.
+    if not checked.where(F.col("jaccard") < threshold).isEmpty():
         settled, settled_path = components(good)
-        left = members.join(failed, ["rep", "doc_id"]).select("key", F.col("doc_id").alias("x"))
-        more = left.join(members.select("key", F.col("doc_id").alias("y")), "key").where("x != y")
-        more = more.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        root = lambda c: settled.select(F.col("doc_id").alias(c), F.col("keep_id").alias(f"__{c}"))
+        # An id with several texts has the bounds of all of them.
+        scores = checked.groupBy("a", "b").agg(*[f(c).alias(f"{n}_{c}") for c in ("jaccard", "size") for n, f in (("lo", F.min), ("hi", F.max))])
+        scored = members.join(scores, (members["rep"] == scores["a"]) & (members["doc_id"] == scores["b"])).select("key", "doc_id", "lo_jaccard", "hi_jaccard", "lo_size", "hi_size")
+        x = scored.where(F.col("lo_jaccard") < threshold).alias("x")
+        y = scored.alias("y")
+        apart = F.greatest(F.col("x.lo_jaccard") - F.col("y.hi_jaccard"), F.col("y.lo_jaccard") - F.col("x.hi_jaccard")) > 1 - threshold + 1e-9
+        uneven = (F.col("x.hi_size") < threshold * F.col("y.lo_size") - 1e-9) | (F.col("y.hi_size") < threshold * F.col("x.lo_size") - 1e-9)
+        twice = (F.col("y.lo_jaccard") < threshold) & (F.col("x.doc_id") > F.col("y.doc_id"))
+        more = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.doc_id") != F.col("y.doc_id")) & ~apart & ~uneven & ~twice)
+        more = more.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
+        root = lambda c: settled.select(F.col("node").alias(c), F.col("root").alias(f"__{c}"))
         more = more.join(root("a"), "a", "left").join(root("b"), "b", "left").where(F.coalesce("__a", "a") != F.coalesce("__b", "b")).select("a", "b")
         second, second_path = _verified(sets, more)  # all of them are in star, too
         good = good.union(second.where(F.col("jaccard") >= threshold).select("a", "b"))
         used += [settled_path, second_path]
-    near, near_path = components(good.union(copies.select("doc_id", "keep_id")))
-    result = near.join(copies.select("doc_id", F.lit(True).alias("exact")).distinct(), "doc_id", "left").select("doc_id", "keep_id", F.coalesce("exact", F.lit(False)).alias("exact"))
-    firsts = near.select(F.col("keep_id").alias("doc_id"), "keep_id", F.lit(False).alias("exact")).distinct()
-    out, _ = materialize(result.union(firsts), "near-groups")
-    remove(spark, near_path, *used)
+    links, links_path = materialize(good.union(copies.select(F.col("keep_id").alias("a"), F.col("doc_id").alias("b"))).distinct(), "near-links")
+    near, near_path = components(links)
+    ends = links.select(F.col("a").alias("doc_id")).union(links.select(F.col("b").alias("doc_id"))).groupBy("doc_id").agg(F.count("*").alias("n_links"))
+    # Every document of a group has a link.
+    result = ends.join(near.select(F.col("node").alias("doc_id"), F.col("root").alias("keep_id")), "doc_id", "left").join(copies.select("doc_id", F.lit(True).alias("exact")).distinct(), "doc_id", "left")
+    out, _ = materialize(result.select("doc_id", F.coalesce("keep_id", "doc_id").alias("keep_id"), F.coalesce("exact", F.lit(False)).alias("exact"), "n_links"), "near-groups")
+    remove(spark, links_path, near_path, *used)
     return out
 
 
@@ -223,10 +225,12 @@ def drop_near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str =
     """docs without the members of near-duplicate groups other than each group's smallest id.
 
     Columns and their order stay; rows with a null id stay (they are in no
-    group); rows that repeat a kept id stay, as they cannot be told apart.
+    group), and so do rows whose text is null or has no word; rows that repeat a kept
+    id stay, as they cannot be told apart; an empty table stays empty.  Nothing is
+    shuffled up to ``BROADCAST_IDS`` dropped ids; beyond, rows are merge-joined with them.
     """
     groups = near_duplicates(docs, text_col, id_col, **params)
     name = free_name(docs, "__gone")
     gone = groups.where("doc_id != keep_id").select(F.col("doc_id").alias(name))
-    # A merge join at any size: what it drops grows with the corpus.
-    return docs.join(gone.hint("merge"), docs[id_col].cast("long") == gone[name], "left_anti")
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone.hint("merge")
+    return docs.join(gone, docs[id_col].cast("long") == gone[name], "left_anti")

@@ -7,32 +7,19 @@ loss of any executor.
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-_OWN: list[str] = []
+from ..sources.shared import new_path, shared_dir
 
+__all__ = ["free_name", "live", "materialize", "new_path", "put_bytes", "remove", "shared_dir"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """URI of the shared folder; in a local session that names none, a folder removed at exit."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
-    if not _OWN:
-        _OWN.append(tempfile.mkdtemp(prefix="quillmill-"))
-        atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
-    return "file://" + _OWN[0]
+#: Paths of the tables that this session wrote and has not removed.
+_LIVE: dict[str, None] = {}
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+def live() -> list[str]:
+    """The tables that are there now: an operator's result reads the last of its own, which its caller may remove() after use."""
+    return list(_LIVE)
 
 
 def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None) -> tuple[DataFrame, str]:
@@ -40,6 +27,7 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
     spark = df.sparkSession
     path = new_path(spark, name)
     out = df.write
+    _LIVE[path] = None
     (out.partitionBy(*partition_by) if partition_by else out).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
@@ -63,6 +51,7 @@ def remove(spark: SparkSession, *paths: str) -> None:
     for path in paths:
         fs, p = _fs(spark, path)
         fs.delete(p, True)
+        _LIVE.pop(path, None)
 
 
 def put_bytes(spark: SparkSession, path: str, data: bytes) -> None:

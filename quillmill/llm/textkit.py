@@ -1,8 +1,7 @@
 """Vectorised word and shingle hashing over Arrow string columns.
 
 A *word* is a maximal run of ASCII letters and digits and non-ASCII characters
-of the lower-cased text (lower-casing is done in the JVM, so all of Unicode is
-covered); everything else separates words.  All arithmetic is modulo 2**64 on
+of the text as lowered() gives it; everything else separates words.  All arithmetic is modulo 2**64 on
 whole buffers: a text costs a few numpy passes, never a Python loop per word.
 Null texts count as empty.
 """
@@ -14,6 +13,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 #: Bytes of text handled at once; a longer single text is taken whole.
 CHUNK_BYTES = 1 << 20
@@ -27,6 +28,13 @@ _P_WORD = 0xD6E8FEB86659FD93
 _P_WORD2 = 0xA0761D6478BD642F
 _MASK = (1 << 64) - 1
 _TABLES: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: Powers that a worker keeps at most (16 bytes each); those of a longer text go with it.
+KEPT = 1 << 22
+
+
+def lowered(text: Column | str) -> Column:
+    """The one lower-casing of all texts that are compared, by the JVM: a sigma does not depend on what follows it, and a dotted capital I is an i."""
+    return F.replace(F.replace(F.lower(text), F.lit("\u03c2"), F.lit("\u03c3")), F.lit("i\u0307"), F.lit("i"))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -48,14 +56,16 @@ def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i for i in 0..n, modulo 2**64."""
     have = _TABLES.get(base)
     if have is None or len(have[0]) <= n:
-        size = max(1 << 12, 1 << int(n + 1).bit_length())
+        size = max(1 << 12, 1 << int(n + 1).bit_length()) if n <= KEPT else n + 1
         with np.errstate(over="ignore"):
             out = []
             for b in (base, pow(base, -1, 1 << 64)):
                 t = np.full(size, b, dtype=np.uint64)
                 t[0] = 1
                 out.append(np.multiply.accumulate(t))
-        _TABLES[base] = have = (out[0], out[1])
+        have = (out[0], out[1])
+        if n <= KEPT:
+            _TABLES[base] = have
     return have
 
 
