@@ -23,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,8 +33,8 @@ SHINGLE = 5
 PERMS = 24
 GROWTH = 1.25
 THRESHOLD = 0.5
-#: Items whose index one pass over the documents carries; a larger benchmark takes several passes.
-MAX_ITEMS = 50_000
+#: Items, and characters of theirs, whose index one pass over the documents carries (some 60 MB); a larger benchmark takes several passes.
+MAX_ITEMS, MAX_CHARS = 50_000, 16_000_000
 
 
 def _perms(n: int) -> np.ndarray:
@@ -62,17 +63,19 @@ class Index:
     classes: list[tuple[int, np.ndarray]]  #: largest size, item numbers
     values: np.ndarray  #: (items, perms)
     minimal: np.ndarray  #: sorted shingles that are some item's minimum under some permutation
-    by_shingle: dict[int, list[tuple[int, int]]]  #: minimal shingle -> (item, perm)
+    held_from: np.ndarray  #: where each minimal shingle's items begin in ``held``, and the end
+    held: np.ndarray  #: item * perms + perm, of whose values a minimal shingle is the source
     filter: np.ndarray  #: bitmap over the low bits of the minimal shingles
     shingle: int
     short: dict[int, tuple[np.ndarray, np.ndarray, list[list[int]]]]  #: words of an item, below ``shingle`` -> sorted hashes, bitmap, items of each hash; these items have no set
 
     @staticmethod
     def build(ids: list, texts: list[str | None], shingle: int = SHINGLE, perms: int = PERMS, growth: float = GROWTH) -> Index:
+        """Of texts as textkit.lowered() gives them."""
         keep, sets = [], []
         brief: list[tuple[int, int, int]] = []  # words, hash, id
         base = 0
-        for words in tk.word_chunks(pa.array([t.lower() if t is not None else None for t in texts], pa.large_string())):
+        for words in tk.word_chunks(pa.array(texts, pa.large_string())):
             sh, offs = tk.shingles(words, shingle)
             count = np.diff(words.doc_start)
             for i in np.flatnonzero(count >= shingle).tolist():
@@ -92,6 +95,8 @@ class Index:
                 values[i, p] = v[k]
                 by.setdefault(int(s[k]), []).append((i, p))
         minimal = np.array(sorted(by), dtype=np.uint64)
+        held = np.array([i * perms + p for k in sorted(by) for i, p in by[k]], np.int64)
+        held_from = np.append(0, np.cumsum([len(by[k]) for k in sorted(by)])).astype(np.int64)
         bitmap = _bitmap(minimal)
         sizes, classes = np.array([len(s) for s in sets], np.int64), []
         top = 1.0
@@ -108,7 +113,7 @@ class Index:
         for n, of in sorted(found.items()):
             hashes = np.array(sorted(of), dtype=np.uint64)
             short[n] = hashes, _bitmap(hashes), [of[h] for h in sorted(of)]
-        return Index(keep, sets, classes, values, minimal, by, bitmap, shingle, short)
+        return Index(keep, sets, classes, values, minimal, held_from, held, bitmap, shingle, short)
 
     def _short_matches(self, words: tk.Words) -> tuple[list[int], list[int]]:
         """Documents of ``words`` and the short items whose words they hold in a row; each pair once."""
@@ -148,14 +153,16 @@ class Index:
             if not len(hit):
                 continue
             at = np.minimum(np.searchsorted(self.minimal, sh[hit]), len(self.minimal) - 1)
-            hit = hit[self.minimal[at] == sh[hit]]
+            same = self.minimal[at] == sh[hit]
+            hit, at = hit[same], at[same]
             docs = np.searchsorted(offs, hit, side="right") - 1
             for d in np.unique(docs):
                 lo, hi = int(offs[d]), int(offs[d + 1])
                 cands: set[int] = set()
                 seen: dict[tuple[int, int, int], np.uint64] = {}
-                for pos in hit[docs == d].tolist():
-                    for item, p in self.by_shingle[int(sh[pos])]:
+                own = slice(*np.searchsorted(docs, [d, d + 1]))
+                for pos, k in zip(hit[own].tolist(), at[own].tolist()):
+                    for item, p in (divmod(x, len(a)) for x in self.held[self.held_from[k] : self.held_from[k + 1]].tolist()):
                         if item in cands:
                             continue
                         u = size_of[item]
@@ -179,16 +186,24 @@ class Index:
         return np.array(rows, np.int64), items, found
 
 
-def indexes(benchmark: DataFrame, text_col: str = "text", id_col: str = "item_id", max_items: int = MAX_ITEMS, **params) -> list[Index]:
-    """The benchmark's items, an index for each ``max_items`` of them (an index is what a task holds).
+def indexes(benchmark: DataFrame, text_col: str = "text", id_col: str = "item_id", max_items: int = MAX_ITEMS, max_chars: int = MAX_CHARS, **params) -> list[Index]:
+    """The benchmark's items, an index for each ``max_items`` or ``max_chars`` of them (an index is what a task holds).
 
     A benchmark is fixed and small beside the corpus; it is collected in full.
     Items without a word or without an id have nothing to find and are left out.
+    All texts of an id are in one index.
     """
-    rows = benchmark.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).where("i IS NOT NULL AND t IS NOT NULL").distinct().toArrow()
-    ids, texts = rows.column("i").to_pylist(), rows.column("t").to_pylist()
-    order = sorted(range(len(ids)), key=lambda k: (ids[k], texts[k]))
-    return [Index.build([ids[k] for k in order[a : a + max_items]], [texts[k] for k in order[a : a + max_items]], **params) for a in range(0, len(order), max_items)]
+    rows = benchmark.select(F.col(id_col).cast("long").alias("i"), tk.lowered(text_col).alias("t")).where("i IS NOT NULL AND t IS NOT NULL").distinct().toArrow()
+    items = sorted(zip(rows.column("i").to_pylist(), rows.column("t").to_pylist()))
+    out: list[list[tuple[int, str]]] = []
+    chars = 0
+    for k, (i, t) in enumerate(items):
+        if not out or ((len(out[-1]) >= max_items or chars >= max_chars) and i != items[k - 1][0]):
+            out.append([])
+            chars = 0
+        out[-1].append((i, t))
+        chars += len(t)
+    return [Index.build([i for i, _ in part], [t for _, t in part], **params) for part in out]
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", id_col: str = "doc_id", threshold: float = THRESHOLD, **params) -> DataFrame:
@@ -203,11 +218,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     repeated documents are each reported; texts are searched whole; an empty
     benchmark or corpus gives no rows; other columns are not read.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lower(F.col(text_col)).alias("__text"))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), tk.lowered(text_col).alias("__text"))
     out = None
-    for index in indexes(benchmark, **params):
+    for one in indexes(benchmark, **params):
+        shared = docs.sparkSession.sparkContext.broadcast(one)
 
-        def search(batches, index=index):
+        def search(batches, shared=shared):
+            index = shared.value
             for batch in batches:
                 rows, items, c = index.matches(batch.column(1), threshold)
                 best: dict[tuple[int, int], float] = {}
@@ -225,17 +242,25 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", threshold: float = THRESHOLD, **params) -> DataFrame:
-    """docs without those that hold a benchmark item; the columns stay, nothing is shuffled."""
-    import pyarrow.compute as pc
+    """docs without those that contamination() reports; the columns stay, nothing is shuffled.
 
-    at = docs.columns.index(text_col)
+    Defined cases: rows with a null or wordless text stay; a null id does not matter;
+    of repeated rows all stay or all go; texts are searched whole; an empty benchmark
+    drops nothing, an empty table stays empty; other columns, whatever their names,
+    are not read.
+    """
     for index in indexes(benchmark, **params):
+        docs = docs.where(_clean(docs.sparkSession.sparkContext.broadcast(index), threshold)(tk.lowered(text_col)))
+    return docs
 
-        def keep(batches, index=index):
-            for batch in batches:
-                good = np.ones(batch.num_rows, bool)
-                good[index.matches(pc.utf8_lower(batch.column(at)), threshold)[0]] = False
-                yield batch.filter(pa.array(good))
 
-        docs = docs.mapInArrow(keep, docs.schema)
-    return docs
+def _clean(shared: Broadcast, threshold: float):
+    """Whether a text holds no item of a broadcast index."""
+
+    @F.arrow_udf("boolean")
+    def clean(text: pa.Array) -> pa.Array:
+        good = np.ones(len(text), bool)
+        good[shared.value.matches(text, threshold)[0]] = False
+        return pa.array(good)
+
+    return clean

@@ -5,6 +5,10 @@ odds of hashed character 1- to 3-grams) predicts that bit; the margins are
 decoded with weights that reflect how well each bit did on held-out rows, and the
 codeword of least weighted logistic loss names the language.  Where the runner-up
 is nearly as good, the text is flagged as ambiguous.
+
+A margin is the mean log odds of all grams of the whole text, times a sixth of their
+number (overlapping grams are not independent) and at most 30: from 180 grams on, a
+longer text has no more certain a decision, only a better mean.
 """
 
 from __future__ import annotations
@@ -22,6 +26,8 @@ from . import textkit as tk
 SAMPLE_PER_LANG = 300
 #: Loss by which the best codeword must beat the second, else the text is ambiguous.
 MIN_GAP = 0.5
+#: Languages at most: each has a codeword and a sample in the driver.
+MAX_LANGS = 1_000
 UNKNOWN = "und"
 
 # Letters have codes 1..26, everything else in ASCII is a space (0), bytes of other characters 27..63.
@@ -94,7 +100,6 @@ class Model:
         out = np.empty((n, len(self.weights)))
         for b, w in enumerate(self.weights):
             out[:, b] = np.bincount(doc, w[grams[0]] + w[grams[1]] + w[grams[2]], n)
-        # Log odds of overlapping grams are not independent: they count as a sixth, and at most 30 grams' worth.
         return out / count[:, None] * (np.minimum(count, 180) / 6.0)[:, None], letters
 
     def decode(self, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -159,19 +164,22 @@ def fit(texts: list[str], labels: list[str], smoothing: float = 0.5) -> Model:
 
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample_per_lang: int = SAMPLE_PER_LANG) -> Model:
-    """Fit on at most ``sample_per_lang`` rows of each label, those of smallest id hash among about as many.
+    """Fit on about ``sample_per_lang`` distinct rows of each label, those of smallest hash of id, label and text.
 
-    Rows without text or label are not used.  The languages must be few (their
-    codewords are held by the driver): the sample is what the driver collects.
+    Rows that repeat id, label and text are one, so that neither copies nor null ids
+    change how many are drawn: the sample is what the driver collects.  Rows without
+    text or label are not used; without any labelled row the model has no language.
     """
-    rows = docs.select(F.col(text_col).alias("__t"), F.col(lang_col).alias("__l"), F.xxhash64(F.col(id_col), F.col(lang_col)).alias("__h")).where("__t IS NOT NULL AND __l IS NOT NULL")
-    counts = {r[0]: r[1] for r in rows.groupBy("__l").count().collect()}
+    rows = docs.select(F.col(text_col).alias("__t"), F.col(lang_col).cast("string").alias("__l"), F.xxhash64(F.col(id_col), F.col(lang_col), F.col(text_col)).alias("__h")).where("__t IS NOT NULL AND __l IS NOT NULL")
+    counts = {r[0]: r[1] for r in rows.groupBy("__l").agg(F.approx_count_distinct("__h")).limit(MAX_LANGS + 1).collect()}
+    if len(counts) > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} languages")
     if not counts:
         return fit([], [])
     rate: Column = F.lit(0.0)
     for lang, n in counts.items():
-        rate = F.when(F.col("__l") == lang, min(1.0, 1.3 * sample_per_lang / n)).otherwise(rate)
-    found = rows.where(F.pmod("__h", F.lit(1 << 30)) < rate * (1 << 30)).collect()
+        rate = F.when(F.col("__l") == lang, min(1.0, 1.3 * sample_per_lang / max(n, 1))).otherwise(rate)
+    found = rows.where(F.pmod("__h", F.lit(1 << 30)) < rate * (1 << 30)).groupBy("__l", "__h").agg(F.min("__t").alias("__t")).collect()
     texts, labels, had = [], [], dict.fromkeys(counts, 0)
     for r in sorted(found, key=lambda r: (r["__h"], r["__l"], r["__t"])):
         if had[r["__l"]] < sample_per_lang:
@@ -191,27 +199,30 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", id_col: str
     with letters is that language.
     """
 
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
     def score(batches):
         for batch in batches:
-            langs, gap, flag = model.predict(batch.column(1), min_gap)
+            langs, gap, flag = shared.value.predict(batch.column(1), min_gap)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(np.round(gap, 4)), pa.array(flag)], ["doc_id", "lang_pred", "gap", "ambiguous"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lower(F.col(text_col)).alias("__text")).mapInArrow(score, "doc_id long, lang_pred string, gap double, ambiguous boolean")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), tk.lowered(text_col).alias("__text")).mapInArrow(score, "doc_id long, lang_pred string, gap double, ambiguous boolean")
 
 
 def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", min_gap: float = MIN_GAP) -> DataFrame:
-    """docs without the rows whose language is unknown or ambiguous; the columns stay, nothing is shuffled."""
-    at = docs.columns.index(text_col)
-
-    def keep(batches):
-        for batch in batches:
-            col = batch.column(at)
-            yield batch.filter(pa.array(~model.predict(pa.array([], pa.string()) if not len(col) else _lower(col), min_gap)[2]))
-
-    return docs.mapInArrow(keep, docs.schema)
+    """docs without the rows that identify() finds ambiguous; the columns stay, nothing is shuffled.
 
+    Defined cases: rows with a null, empty or letterless text go, as no language is
+    found; a model without languages can judge nothing and drops nothing; null ids do
+    not matter; of repeated rows all stay or all go; an empty table stays empty;
+    texts are scored whole; other columns, whatever their names, are not read.
+    """
+    if not model.langs:
+        return docs
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
-def _lower(col: pa.Array) -> pa.Array:
-    import pyarrow.compute as pc
+    @F.arrow_udf("boolean")
+    def sure(text: pa.Array) -> pa.Array:
+        return pa.array(~shared.value.predict(text, min_gap)[2])
 
-    return pc.utf8_lower(col)
+    return docs.where(sure(tk.lowered(text_col)))

@@ -127,7 +127,12 @@ def keep_mixed(docs: DataFrame, seed: int = SEED, id_col: str = "doc_id", source
     A source's served documents are the first ones of its shuffle, so its last
     shuffle key is all that a document is compared with.  Text is shuffled only
     where there are more than ``MAX_BROADCAST_SOURCES`` sources; the rule is the same.
-    Rows of a source that repeat an id are served together.
+
+    Defined cases: rows of a source that repeat an id share a place in its shuffle and
+    are served together, so where mix() ends between them, the budget is passed by
+    the tokens of such repeats; likewise rows of a source with null ids; null sources,
+    null and empty texts as in mix(); an empty table stays empty; columns may have any
+    names.
     """
     served = mix(docs, seed=seed, id_col=id_col, source_col=source_col, **params)
     source, cut = free_name(docs, "__source"), free_name(docs, "__cut")

@@ -13,6 +13,7 @@ Hashing and URL parsing are Spark's built-in functions.
 from __future__ import annotations
 
 import uuid
+from collections import OrderedDict
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,7 +23,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import new_path
+from .shared import materialize, new_path, remove
 
 #: Keys in a file, about.
 FILE_KEYS = 4_000_000
@@ -79,12 +80,18 @@ class DigestArray:
         return found
 
 
-_OPEN: dict[str, tuple[np.ndarray, pa.Array]] = {}
+#: Files that a worker has open at once: mapped ones cost address space, read ones memory.
+MAX_OPEN = 16
+_OPEN: OrderedDict[str, tuple[np.ndarray, pa.Array]] = OrderedDict()
 
 
 def _load(path: str) -> tuple[np.ndarray, pa.Array]:
-    """Keys and strings of a file: mapped, where the shared folder is a mounted one, else read."""
-    if path not in _OPEN:
+    """Keys and strings of a file: mapped, where the shared folder is a mounted one, else read; the least recently used ones are let go."""
+    if path in _OPEN:
+        _OPEN.move_to_end(path)
+    else:
+        while len(_OPEN) >= MAX_OPEN:
+            _OPEN.popitem(last=False)
         system, name = fs.FileSystem.from_uri(path)
         source = pa.memory_map(name) if isinstance(system, fs.LocalFileSystem) else system.open_input_file(name)
         table = pa.ipc.open_file(source).read_all()
@@ -108,14 +115,17 @@ def _write(batches, folder: str):
 def build(spark: SparkSession, entries: DataFrame, entry_col: str = "entry") -> DigestArray:
     """The digest array of a blocklist of URLs, hosts and domains (null and empty entries are left out, repeats are one)."""
     rows = entries.select(normalize(F.col(entry_col)).alias("s")).where("s != ''").distinct().select(F.xxhash64("s").alias("key"), "s")
+    rows, rows_path = materialize(rows, "digest-rows")
     n = rows.count()
     if not n:
+        remove(spark, rows_path)
         return DigestArray((), np.zeros(0, np.int64))
     folder = new_path(spark, "digests")
     path = folder if "://" in folder else "file://" + folder
     system, name = fs.FileSystem.from_uri(path)
     system.create_dir(name, recursive=True)
     files = rows.repartitionByRange(-(-n // FILE_KEYS), "key").sortWithinPartitions("key", "s").mapInArrow(lambda it: _write(it, path), "path string, first long").collect()
+    remove(spark, rows_path)
     files.sort(key=lambda r: r["first"])
     return DigestArray(tuple(r["path"] for r in files), np.array([r["first"] for r in files], np.int64))
 

@@ -1,5 +1,7 @@
 """Brute-force versions that the operators are compared with."""
 
+import html
+import math
 import re
 from collections import defaultdict
 
@@ -17,8 +19,12 @@ def awkward(texts):
     return rows + [(i, t, None, "s9", None, None, None, None, None, None, None, None) for i, t in extra]
 
 
+def lowered(text):
+    return (text or "").lower().replace("\u03c2", "\u03c3").replace("i\u0307", "i")
+
+
 def words(text):
-    return WORD.findall((text or "").lower())
+    return WORD.findall(lowered(text))
 
 
 def repeated_spans(rows, length, later_only):
@@ -79,23 +85,25 @@ def near_groups(rows, k, threshold):
 
 
 def contained(rows, items, k, threshold):
-    """(doc_id, item_id, containment) by comparing all pairs."""
-    found = set()
-    for d, t in rows:
-        own = shingle_set(t, k)
-        whole = words(t)
-        for i, it in items:
-            w = words(it)
-            if i is None or not w:
-                continue
-            s = shingle_set(it, k)
-            if len(w) < k and len(whole) != len(w):
-                c = 0.0
-            else:
-                c = len(s & own) / len(s)
+    """(doc_id, item_id, containment) by looking for each gram of each item in each document.
+
+    An item's grams are its runs of k words, or all its words if it has fewer; the
+    containment is the share of its distinct grams that occur as runs of words of the
+    document, and of an id with several texts the largest one.
+    """
+    best = {}
+    texts = [(n, d, f" {' '.join(words(t))} ") for n, (d, t) in enumerate(rows)]
+    for i, it in items:
+        w = words(it)
+        if i is None or not w:
+            continue
+        size = min(k, len(w))
+        grams = {" ".join(w[p : p + size]) for p in range(len(w) - size + 1)}
+        for n, d, text in texts:
+            c = sum(f" {g} " in text for g in grams) / len(grams)
             if c >= threshold:
-                found.add((d, i, round(c, 6)))
-    return found
+                best[n, d, i] = max(round(c, 6), best.get((n, d, i), 0.0))
+    return sorted(((d, i, c) for (_, d, i), c in best.items()), key=str)
 
 
 def fair_queue(rows, weights, share, key):
@@ -127,3 +135,85 @@ def least_capacity(sizes, n):
     for _ in range(n - 1):
         best = [min((max(best[j], run[i] - run[j]) for j in range(i + 1)), default=0) for i in range(len(run))]
     return best[-1]
+
+
+def html_content(page, sigma, block, hidden):
+    """(content, content lines, lines with text) of a well-formed page."""
+    lines, parts, tags, depth = [], [], 0, []
+
+    def end():
+        nonlocal parts, tags
+        text = " ".join("".join(parts).split())
+        if text or tags:
+            lines.append((text, tags))
+        parts, tags = [], 0
+
+    for part in re.split(r"(<!--.*?-->|<![^>]*>|<script.*?</script>|<style.*?</style>|<[^>]*>)", page or "", flags=re.S):
+        if part.startswith("<!"):
+            continue
+        name = re.match(r"</?([a-zA-Z0-9]+)", part)
+        if part.startswith("<script") or part.startswith("<style"):
+            tags += 2
+        elif name and part.endswith(">"):
+            tag, closes = name.group(1).lower(), part.startswith("</")
+            if closes:
+                if tag in depth:
+                    depth.remove(tag)
+                tags += 1
+                if tag in block:
+                    end()
+            else:
+                if tag in hidden:
+                    depth.append(tag)
+                if tag in block:
+                    end()
+                tags += 1
+        elif not depth:
+            first, *rest = html.unescape(part).split("\n")
+            parts.append(first)
+            for x in rest:
+                end()
+                parts.append(x)
+    end()
+    chars = [len(t) for t, _ in lines]
+    if not any(chars):
+        return "", 0, 0
+    raw = [math.log1p(len(t) / max(n, 1)) for t, n in lines]
+    far = math.ceil(3 * sigma)
+    smooth = []
+    for i in range(len(raw)):
+        near = [(math.exp(-0.5 * ((i - j) / sigma) ** 2), raw[j]) for j in range(len(raw)) if abs(i - j) <= far]
+        smooth.append(sum(w * x for w, x in near) / sum(w for w, _ in near))
+    order, best, cut = sorted(smooth), None, 0.0
+    spread = lambda xs: sum((x - sum(xs) / len(xs)) ** 2 for x in xs)
+    for i in range(1, len(order)):
+        if order[i] != order[i - 1]:
+            cost = spread(order[:i]) + spread(order[i:])
+            if best is None or cost < best - 1e-12:
+                best, cut = cost, (order[i - 1] + order[i]) / 2
+    kept = [t for (t, _), x in zip(lines, smooth) if t and x >= cut]
+    return "\n".join(kept), len(kept), sum(c > 0 for c in chars)
+
+
+def language(text, model):
+    """(language, gap) by the definition: every gram of the text, every bit, every codeword."""
+    code = lambda b: b - 96 if 97 <= b < 123 else b - 64 if 65 <= b < 91 else 27 + (b - 128) % 37 if b >= 128 else 0
+    codes = []
+    for b in lowered(text).encode():
+        c = code(b)
+        if c or not codes or codes[-1]:
+            codes.append(c)
+    if not any(codes) or not model.langs:
+        return "und", 0.0
+    n = len(codes)
+    margins = []
+    for w in model.weights:
+        total = 0.0
+        for i, a in enumerate(codes):
+            b = codes[i + 1] if i + 1 < n else 0
+            c = codes[i + 2] if i + 2 < n else 0
+            total += float(w[a]) + float(w[64 + a * 64 + b]) + float(w[64 + 4096 + (a * 64 + b) * 64 + c])
+        margins.append(total / n * min(n, 180) / 6)
+    loss = [sum(al * math.log1p(math.exp(-m * x)) for m, x, al in zip(margins, word, model.alphas)) for word in model.codes]
+    order = sorted(range(len(loss)), key=lambda k: loss[k])
+    return model.langs[order[0]], loss[order[1]] - loss[order[0]] if len(loss) > 1 else math.inf

@@ -110,7 +110,7 @@ def test_decontamination(spark):
     rows = [(r["doc_id"], r["text"]) for r in documents(spark).collect()]
     items = [(r["item_id"], r["text"]) for r in bench.collect()]
     got = {tuple(r) for r in decontaminate.contamination(documents(spark), bench).collect()}
-    want = brute.contained(rows, items, decontaminate.SHINGLE, decontaminate.THRESHOLD)
+    want = set(brute.contained(rows, items, decontaminate.SHINGLE, decontaminate.THRESHOLD))
     assert got <= want and len(got) >= 0.98 * len(want) > 0
     kept = {r["doc_id"] for r in decontaminate.drop_contaminated(documents(spark), bench).collect()}
     assert kept == {d for d, _ in rows} - {d for d, _, _ in got}
@@ -152,6 +152,44 @@ def test_decontamination_short_items(spark):
     assert [tuple(r) for r in decontaminate.contamination(docs, bench).collect()] == [(0, 7, 1.0)]
 
 
+def test_decontamination_has_one_lower_case(spark):
+    """What is reported is dropped, whatever the script; a sigma's place in a word and a dotted capital I do not matter."""
+    texts = [(0, "x " * 9 + "ΟΔΟΣ ΕΛΛΑΔΟΣ.ΑΒ" + " y" * 9), (1, "ΟΔΟΣ ΕΛΛΑΔΟΣ"), (2, "İSTANBUL'DA ÇOK GÜZEL BİR GÜN VAR " + "z " * 9), (3, "istanbul"), (4, "Straße ÉTÉ"), (5, "STRASSE été"), (6, "οδοσ ελλαδοσ")]
+    items = [(1, "οδός ελλάδος"), (2, "Οδος Ελλαδος"), (3, "İstanbul'da çok güzel bir gün var"), (4, "STRAßE été")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = sorted((tuple(r) for r in decontaminate.contamination(docs, bench).collect()), key=str)
+    assert got == brute.contained(texts, items, 5, 0.5)
+    assert {(0, 2), (1, 2), (6, 2), (2, 3), (4, 4)} == {x[:2] for x in got}
+    kept = {r["doc_id"] for r in decontaminate.drop_contaminated(docs.withColumnRenamed("text", "TEXT"), bench).collect()}
+    assert kept == {3, 5}
+
+
+def test_decontamination_short_and_long_items_against_brute_force(spark):
+    """Items of one to thirty words, several texts an id, over one index and over many."""
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randrange(12)}"
+    items = [(i // 2, " ".join(word() for _ in range(rng.choice([1, 2, 3, 4, 5, 6, 9, 30])))) for i in range(40)]
+    texts = []
+    for i in range(120):
+        body = [word() for _ in range(rng.randrange(0, 40))]
+        if i % 3 == 0:
+            body[len(body) // 2 : len(body) // 2] = rng.choice(items)[1].split()
+        texts.append((i, " ".join(body)))
+    texts += texts[:5]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = brute.contained(texts, items, 5, 0.5)
+    assert len(want) > 100
+    for most in (1, 7, 1000):
+        got = sorted((tuple(r) for r in decontaminate.contamination(docs, bench, max_items=most).collect()), key=str)
+        assert set(got) <= set(want) and len(got) >= 0.98 * len(want)
+        short = {i for i, t in items if len(t.split()) < 5}
+        assert [x for x in got if x[1] in short and x[2] == 1.0] == [x for x in want if x[1] in short and x[2] == 1.0]
+        kept = decontaminate.drop_contaminated(docs, bench, max_items=most).collect()
+        assert {r["doc_id"] for r in kept} == {d for d, _ in texts} - {x[0] for x in got}
+
+
 # --- 3 and 10: repeated passages ---
 
 
@@ -299,6 +337,16 @@ def test_html_of_the_corpus(spark):
     assert kept > 0.9 * total > 0 and menus <= 0.1 * len(out)
 
 
+def test_html_against_brute_force(spark):
+    """All pages of sf0.001: markup by regular expressions, smoothing by its definition, the threshold by trying all."""
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    out = {r["page_id"]: tuple(r)[1:] for r in html_text.extract_text(pages).collect()}
+    rows = pages.collect()
+    assert len(rows) >= 50 and sum(out[r["page_id"]][1] for r in rows) > len(rows)
+    for r in rows:
+        assert out[r["page_id"]] == brute.html_content(r["html"], html_text.SIGMA, html_text._BLOCK, html_text._HIDDEN), r["page_id"]
+
+
 # --- 6: language identification ---
 
 
@@ -339,62 +387,149 @@ def test_language_id_awkward(spark):
     assert langid.identify(docs.limit(0), model).count() == 0
 
 
+def test_language_id_against_brute_force(spark):
+    """Gram by gram and codeword by codeword, for every document of sf0.001."""
+    docs = documents(spark)
+    model = langid.train(docs)
+    got = {r["doc_id"]: r for r in langid.identify(docs, model).collect()}
+    for r in docs.collect():
+        lang, gap = brute.language(r["text"], model)
+        mine = got[r["doc_id"]]
+        assert abs(mine["gap"] - gap) < 1e-3 * max(1.0, gap), r["doc_id"]
+        assert mine["lang_pred"] == lang or gap < 1e-3
+        assert mine["ambiguous"] == (mine["gap"] < langid.MIN_GAP) or abs(gap - langid.MIN_GAP) < 1e-3
+
+
+def test_language_id_sample(spark):
+    """Null ids and copies change neither what is learned from nor how much of it; without labels nothing is dropped."""
+    words = {"de": "der die das und nicht wird auch mit sich", "en": "the and that with this have from they which"}
+    rng = random.Random(3)
+    rows = [(None, " ".join(rng.choice(words[x].split()) for _ in range(30)), x) for x in ("de", "en") for _ in range(2000)]
+    rows += [(None, rows[0][1], "de")] * 6000
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen = []
+    fit = langid.fit
+    try:
+        langid.fit = lambda texts, labels: seen.append((texts, labels)) or fit(texts, labels)
+        model = langid.train(docs, sample_per_lang=100)
+    finally:
+        langid.fit = fit
+    texts, labels = seen[0]
+    assert model.langs == ("de", "en") and all(70 <= labels.count(x) <= 100 for x in ("de", "en")) and len(set(texts)) == len(texts)
+    assert langid.keep_identified(docs, model).count() >= 0.99 * len(rows)
+    bare = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert langid.keep_identified(bare, langid.train(bare)).count() == len(rows)
+
+
 # --- 7: embeddings ---
 
 
-def brute_pairs(rows, least):
-    first, out = {}, set()
-    for i, e in sorted((i, tuple(e)) for i, e in rows):
-        if e in first and first[e] != i:
-            out.add((first[e], i, 1.0))
-        first.setdefault(e, i)
-    own = [(i, np.array(e, float)) for e, i in first.items()]
-    for x, (i, a) in enumerate(own):
-        for j, b in own[:x]:
-            if len(a) == len(b) and i != j:
-                c = float(a @ b / math.sqrt((a @ a) * (b @ b)))
+def brute_links(rows, least):
+    """Links between distinct (id, vector) rows, by comparing all of them: (i, j, cosine) of their numbers, and the rows."""
+    own = sorted({(i, tuple(e)) for i, e in rows})
+    links = []
+    for x, (_, a) in enumerate(own):
+        for y, (_, b) in enumerate(own[:x]):
+            if len(a) == len(b):
+                c = 1.0 if a == b else float(np.dot(a, b) / math.sqrt(np.dot(a, a) * np.dot(b, b)))
                 if c >= least:
-                    out.add((min(i, j), max(i, j), round(c, 6)))
+                    links.append((y, x, c))
+    return own, links
+
+
+def brute_classes(rows, least):
+    own, links = brute_links(rows, least)
+    root = brute.groups([(x, y) for x, y, _ in links])
+    name = {}
+    for k, (i, _) in enumerate(own):
+        name[root.get(k, k)] = min(i, name.get(root.get(k, k), i))
+    return sorted((i, name[root.get(k, k)], sum(k in x[:2] for x in links)) for k, (i, _) in enumerate(own))
+
+
+def brute_pairs(rows, least):
+    own, links = brute_links(rows, least)
+    out = {}
+    for x, y, c in links:
+        i, j = sorted((own[x][0], own[y][0]))
+        if i != j:
+            out[i, j] = max(c, out.get((i, j), 0.0))
     return out
 
 
-@pytest.mark.parametrize("tile", [7, 4000])
-def test_embedding_pairs(spark, tile):
-    rng = np.random.default_rng(4)
-    base = rng.standard_normal((25, 20))
-    rows = [(i, [float(x) for x in v]) for i, v in enumerate(base)]
-    rows += [(100 + i, [float(x) for x in base[i % 9] + rng.standard_normal(20) * rng.choice([0.02, 0.1, 0.25, 0.4])]) for i in range(120)]
-    rows += [(300 + i, rows[0][1]) for i in range(6)] + [(5, rows[5][1])]
-    good = list(rows)
-    odd = [(400, None), (401, []), (402, [0.0] * 20), (403, [float("nan")] * 20), (404, [1.0, None]), (None, rows[0][1]), (405, [1.0, 2.0]), (406, [2.0, 4.0])]
-    good += [(405, [1.0, 2.0]), (406, [2.0, 4.0])]
-    table = spark.createDataFrame([(i, e, 0, 1) for i, e in rows + odd], "vec_id long, embedding array<double>, id int, block int")
-    got = {tuple(r) for r in embedding_dedup.near_pairs(table, 0.9, tile=tile).collect()}
-    want = brute_pairs(good, 0.9)
-    assert {x[:2] for x in got} == {x[:2] for x in want} and len(want) > 200
-    cosine = {(a, b): c for a, b, c in want}
-    assert all(abs(cosine[a, b] - c) < 1e-5 for a, b, c in got)
+def vectors(seed=4, dim=20):
+    rng = np.random.default_rng(seed)
+    base = rng.standard_normal((25, dim))
+    rows = [(i, base[i]) for i in range(25)]
+    rows += [(100 + i, base[i % 9] + rng.standard_normal(dim) * rng.choice([0.02, 0.1, 0.25, 0.4])) for i in range(120)]
+    rows += [(300 + i, base[0]) for i in range(6)] + [(5, base[5]), (5, base[6]), (7, base[0]), (500, 2 * base[1])]
+    return [(i, [float(x) for x in e]) for i, e in rows]
+
+
+ODD_VECTORS = [(400, None), (401, []), (402, [0.0] * 20), (403, [float("nan")] * 20), (404, [1.0, None]), (None, [1.0] * 20), (407, [float("inf")] * 20)]
+
+
+@pytest.mark.parametrize("tile, block", [(7, 5), (4000, 16), (4000, 20), (40, 3)])
+def test_embedding_classes(spark, tile, block, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "ROW", 5)
+    rows = [*vectors(), (405, [1.0, 2.0]), (406, [2.0, 4.0])]
+    table = spark.createDataFrame([(i, e, 0, 1) for i, e in rows + ODD_VECTORS], "vec_id long, embedding array<double>, node int, block int")
+    got = sorted(tuple(r) for r in embedding_dedup.near_classes(table, 0.9, block_dims=block, tile=tile).collect())
+    want = brute_classes(rows, 0.9)
+    assert got == want and sum(x[2] for x in want) > 400 and any(x[0] != x[1] for x in want)
+    assert embedding_dedup.near_classes(table.limit(0)).count() == 0
+
+
+def test_embedding_pairs(spark):
+    """Every pair of ids, copies beside copies and ids that stand for several vectors among them."""
+    rows = vectors(8)
+    table = spark.createDataFrame([*rows, *ODD_VECTORS], "vec_id long, embedding array<float>")
+    rows = [(i, np.array(e, np.float32).astype(float).tolist()) for i, e in rows]
+    want = brute_pairs(rows, 0.9)
+    got = {(a, b): c for a, b, c in embedding_dedup.near_pairs(table, 0.9).collect()}
+    assert set(got) == set(want) and all(abs(want[k] - c) < 2e-6 for k, c in got.items())
     assert embedding_dedup.near_pairs(table.limit(0)).count() == 0
 
 
-def test_embedding_copies_expanded(spark):
-    """Every pair of rows, by comparing all of them: copies beside copies, and ids that stand for several vectors."""
-    rng = np.random.default_rng(8)
-    base = rng.standard_normal((6, 12))
-    near = [base[i] + rng.standard_normal(12) * 0.1 for i in range(6)]
-    rows = [(i, base[i % 6]) for i in range(18)] + [(30 + i, near[i % 6]) for i in range(12)] + [(0, near[0]), (0, base[3]), (50, 2 * base[1])]
-    rows = [(i, [float(x) for x in v]) for i, v in rows]
-    table = spark.createDataFrame([*rows, (60, None), (None, rows[0][1])], "vec_id long, embedding array<double>")
-    want = {}
-    for i, a in rows:
-        for j, b in rows:
-            c = float(np.dot(a, b) / math.sqrt(np.dot(a, a) * np.dot(b, b)))
-            if i < j and c >= 0.9:
-                want[i, j] = max(c, want.get((i, j), 0.0))
-    pairs = embedding_dedup.near_pairs(table, 0.9)
-    got = [tuple(r) for r in embedding_dedup.expand_copies(table, pairs, 0.9).collect()]
-    assert sorted(x[:2] for x in got) == sorted(want) and pairs.count() < len(want)
-    assert all(abs(want[a, b] - c) < 1e-5 for a, b, c in got)
+def test_embedding_blocks_lose_no_pair():
+    """Pairs at the very threshold, spread over the blocks in any way, are candidates of one block at least."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    dim, least = 64, 0.95
+    spans = embedding_dedup.blocks_of(dim)
+    assert [b - a for a, b in spans] == [16] * 4 and embedding_dedup.blocks_of(3) == [(0, 3)]
+    a = rng.standard_normal((400, dim))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    side = rng.standard_normal((400, dim)) * np.repeat(rng.choice([0.0, 1.0], (400, 4), p=[0.4, 0.6]) + 1e-9, 16, axis=1)
+    side -= (side * a).sum(1, keepdims=True) * a
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    angle = np.arccos(least) * rng.uniform(0.9, 1.0, (400, 1))
+    b = np.cos(angle) * a + np.sin(angle) * side
+    both, groups, met = np.vstack((a, b)), {}, set()
+    for batch in embedding_dedup._pack(both, np.arange(800), spans, 2 * (1 - least)):
+        for r in batch.to_pylist():
+            groups.setdefault((r["block"], r["cell"]), []).append({**r, "tile": 0, "ti": 0, "tj": 0})
+    for rows in groups.values():
+        found = embedding_dedup._join(pa.Table.from_pylist(rows), [16] * 4, 2 * (1 - least))
+        met |= set(zip(found.column("a").to_pylist(), found.column("b").to_pylist()))
+    assert all((i, i + 400) in met for i in range(400))
+
+
+@pytest.mark.parametrize("task", [2_000_000, 5])
+def test_components(spark, task, monkeypatch):
+    """Chains, stars and cliques, by one task and by rounds over several."""
+    from quillmill.llm import graph
+
+    monkeypatch.setattr(graph, "TASK_EDGES", task)
+    rng = random.Random(6)
+    edges = [(i, i + 1) for i in range(100, 160)] + [(7, i) for i in range(200, 230)] + [(i, j) for i in range(300, 312) for j in range(300, i)] + [(5, 5)]
+    edges += [(rng.randrange(1000, 1400), rng.randrange(1000, 1400)) for _ in range(150)]
+    rng.shuffle(edges)
+    table = spark.createDataFrame(edges, "a long, b long").repartition(7)
+    got = {r["node"]: r["root"] for r in graph.components(table)[0].collect()}
+    want = {k: v for k, v in brute.groups([e for e in edges if e[0] != e[1]]).items() if k != v}
+    assert got == want
+    assert graph.components(table.limit(0))[0].count() == 0
 
 
 # --- 8: mixing ---
@@ -469,3 +604,35 @@ def test_bucket_members_unlike_the_first(spark):
     texts = [(1, " ".join(a[:40] + b[:20])), (2, " ".join(b + a[:25])), (3, " ".join(b + a[:24]))]
     got = {r["doc_id"]: r["keep_id"] for r in near_dedup.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
     assert got == brute.near_groups(texts, 3, 0.6) == {2: 2, 3: 2}
+
+
+def test_hot_bucket_of_unlike_members(spark, monkeypatch):
+    """A hundred documents share boilerplate, and so buckets; chains of near ones among them are found as brute force finds them."""
+    rng = random.Random(12)
+    boiler = [f"licence{i}" for i in range(40)]
+    texts, last = [], []
+    for i in range(100):
+        own = [f"q{rng.randrange(99_999)}" for _ in range(rng.randrange(20, 45))]
+        body = last[:-6] + own[:6] if last and i % 3 else own
+        texts.append((i, " ".join(boiler + body)))
+        last = body
+    want = brute.near_groups(texts, 3, near_dedup.THRESHOLD)
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    rows = near_dedup.near_duplicates(docs).collect()
+    got = {r["doc_id"]: r["keep_id"] for r in rows}
+    assert set(got) <= set(want) and sum(got.get(d) == k for d, k in want.items()) >= 0.9 * len(want) > 0
+    assert all(r["n_links"] >= 1 for r in rows)
+    few = sorted(r["doc_id"] for r in near_dedup.drop_near_duplicates(docs).collect())
+    monkeypatch.setattr(near_dedup, "BROADCAST_IDS", 0)
+    assert sorted(r["doc_id"] for r in near_dedup.drop_near_duplicates(docs).collect()) == few
+
+
+def test_bloom_filter_has_all_its_ids(spark):
+    from quillmill.llm import bloom
+
+    rng = np.random.default_rng(5)
+    ids = rng.integers(-(1 << 62), 1 << 62, 5000)
+    words = bloom.build(spark.createDataFrame([(int(i),) for i in ids], "id long").repartition(3), len(ids))
+    assert bloom.might_hold(words, ids).all()
+    assert bloom.might_hold(words, rng.integers(-(1 << 62), 1 << 62, 5000)).mean() < 0.1
+    assert not bloom.might_hold(bloom.build(spark.createDataFrame([], "id long"), 0), ids).any()
