@@ -120,9 +120,8 @@ def _windows(batches, length: int, window: int, parts: int):
 
     for seg, ids, start, (h, second, near) in wn.segments(batches, values):
         rows, pos = wn.Rows(), np.flatnonzero(near)
-        rows.directory(seg, ids, start)
-        doc = np.searchsorted(start, pos, side="right") - 1
-        wn.split(rows, seg, wn.part_of(h[pos], parts), pos, [(h[pos], 8), (second[pos], 2), (ids[doc], 8)])
+        # Of the second hash as much is compared as is sent.
+        wn.send_windows(rows, seg, ids, start, pos, [h[pos], second[pos] & np.uint64(0xFFFF)], (8, 2), wn.part_of(h[pos], parts))
         yield rows.batch()
 
 
@@ -151,7 +150,7 @@ def incremental_duplicates(docs: DataFrame, text_col: str = "text", id_col: str
     other columns are not read.
     """
     spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lower(F.col(text_col)).alias("__text")).where("doc_id IS NOT NULL")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), tk.lowered(text_col).alias("__text")).where("doc_id IS NOT NULL")
     cuts = texts.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 10_000)).first()[0] if batches > 1 else []
     cuts = sorted(set(cuts or []))
     index, places, paths = FingerprintIndex(spark, length, window), None, []

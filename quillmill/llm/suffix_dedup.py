@@ -37,26 +37,31 @@ _TAIL = 5
 
 
 def _initial(batches, q: int, parts: int):
-    """doc_id, __text -> directories, and by part the q-gram hash tails of all positions."""
+    """doc_id, __text -> directories, and by part the q-gram hash tails of all positions, and whether others of the segment share them."""
 
     def values(_, words):
         return tk.gram_hashes(words, q)
 
     for seg, ids, start, (h, ok) in wn.segments(batches, values):
         rows, pos = wn.Rows(), np.flatnonzero(ok)
-        rows.directory(seg, ids, start)
-        wn.split(rows, seg, wn.part_of(h[pos], parts), pos, [(h[pos], _TAIL)])
+        h = h[pos]
+        # What a part can tell apart: its number and the tail.
+        part = wn.part_of(h, parts)
+        folded = wn.fold([(h & np.uint64((1 << 8 * _TAIL) - 1)) | (part.astype(np.uint64) << np.uint64(8 * _TAIL))], pos)
+        at = folded.at
+        rows.directory(seg, ids, start, folded)
+        wn.split(rows, seg, part[at], pos[at], [(h[at], _TAIL), (folded.many, 1)])
         yield rows.batch()
 
 
-def _number(keys: list[np.ndarray], part: int) -> tuple[np.ndarray, np.ndarray]:
-    """Entries that share their key with another (ascending), and their buckets' identifiers, from 1 on in this part."""
+def _number(keys: list[np.ndarray], many: np.ndarray, part: int) -> tuple[np.ndarray, np.ndarray]:
+    """Entries that share their key with another, or stand for ``many`` (ascending), and their buckets' identifiers, from 1 on in this part."""
     order = np.lexsort(keys) if len(keys) > 1 else np.argsort(keys[0], kind="stable")
     same = np.ones(max(len(order) - 1, 0), bool)
     for k in keys:
         s = k[order]
         same &= s[1:] == s[:-1]
-    some = np.zeros(len(order), bool)
+    some = many[order]
     some[1:] |= same
     some[:-1] |= same
     bucket = np.cumsum(np.append(True, ~same)[: len(order)])
@@ -66,34 +71,39 @@ def _number(keys: list[np.ndarray], part: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _bucket(table: pa.Table, n_keys: int, width: int) -> pa.Table:
-    """The rows of a part -> back by segment: a = bucket identifiers, b = positions, of what is not alone."""
+    """The rows of a part (keys, many, positions) -> back by segment: a = bucket identifiers, b = positions, of what is not alone."""
     rows, part = wn.Rows(), table.column("part")[0].as_py()
     if part < 0:
         return table
-    keys = [[wn.unpack(v.as_py(), np.uint64, width) for v in table.column(c)] for c in ("a", "b")[:n_keys]]
-    at, ident = _number([np.concatenate(k) for k in reversed(keys)], part)
+    keys = [[wn.unpack(v.as_py(), np.uint64, width) for v in table.column(c)] for c in "ab"[:n_keys]]
+    many = np.concatenate([wn.unpack(v.as_py(), np.bool_) for v in table.column("abc"[n_keys])])
+    at, ident = _number([np.concatenate(k) for k in reversed(keys)], many, part)
     row_of = np.repeat(np.arange(table.num_rows), [len(x) for x in keys[0]])
-    wn.by_segment(table, row_of, at, rows, part, [(ident, 8)], [wn.unpack_sorted(v.as_py()) for v in table.column("d" if n_keys > 1 else "b")])
+    wn.by_segment(table, row_of, at, rows, part, [(ident, 8)], [wn.unpack_sorted(v.as_py()) for v in table.column("cd"[n_keys - 1])])
     return pa.Table.from_batches([rows.batch()])
 
 
-def _point(table: pa.Table, step: int, parts: int) -> pa.Table:
-    """A segment's bucketed positions -> by part: a, b = identifiers of a position and of the one ``step`` on, c = documents, d = positions."""
+def _point(table: pa.Table, step: int, parts: int, last: bool) -> pa.Table:
+    """A segment's bucketed positions -> by part: the identifiers of a position and of the one ``step`` on, for window_spans() if they are the ``last``."""
     rows = wn.Rows()
-    ids, start, found = wn.directory_of(table)
+    ids, start, rest, reps, found = wn.directory_of(table)
     seg = table.column("seg")[0].as_py()
-    rows.directory(seg, ids, start)
-    if found:
-        ident = np.zeros(start[-1] + step, np.uint64)
-        for r in found:
-            ident[wn.unpack_sorted(r["b"])] = wn.unpack(r["a"], np.uint64)
-        pos = np.flatnonzero((ident[:-step] != 0) & (ident[step:] != 0))
-        doc = np.searchsorted(start, pos, side="right") - 1
-        inside = pos + step < start[doc + 1]
-        pos, doc = pos[inside], doc[inside]
-        a, b = ident[pos], ident[pos + step]
-        part = wn.part_of(tk.mix(tk.mix(a) + b), parts)
-        wn.split(rows, seg, part, pos, [(a, 8), (b, 8), (ids[doc], 8)])
+    ident = np.zeros(start[-1] + step, np.uint64)
+    for r in found:
+        ident[wn.unpack_sorted(r["b"])] = wn.unpack(r["a"], np.uint64)
+    ident[rest] = ident[reps]
+    pos = np.flatnonzero((ident[:-step] != 0) & (ident[step:] != 0))
+    doc = np.searchsorted(start, pos, side="right") - 1
+    pos = pos[pos + step < start[doc + 1]]
+    a, b = ident[pos], ident[pos + step]
+    part = wn.part_of(tk.mix(tk.mix(a) + b), parts)
+    if last:
+        wn.send_windows(rows, seg, ids, start, pos, [a, b], (8, 8), part)
+    else:
+        folded = wn.fold([a, b], pos)
+        at = folded.at
+        rows.directory(seg, ids, start, folded)
+        wn.split(rows, seg, part[at], pos[at], [(a[at], 8), (b[at], 8), (folded.many, 1)])
     return pa.Table.from_batches([rows.batch()])
 
 
@@ -101,8 +111,8 @@ def _bucketing(n_keys: int, width: int):
     return lambda table: _bucket(table, n_keys, width)
 
 
-def _pointing(step: int, parts: int):
-    return lambda table: _point(table, step, parts)
+def _pointing(step: int, parts: int, last: bool):
+    return lambda table: _point(table, step, parts, last)
 
 
 def repeated_substrings(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", length: int = LENGTH, qgram: int = QGRAM) -> DataFrame:
@@ -123,11 +133,11 @@ def repeated_substrings(docs: DataFrame, text_col: str = "text", id_col: str = "
     if not 1 <= qgram < length:
         raise ValueError("qgram must be shorter than length")
     parts = wn.n_parts(docs, text_col)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lower(F.col(text_col)).alias("__text")).where("doc_id IS NOT NULL")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), tk.lowered(text_col).alias("__text")).where("doc_id IS NOT NULL")
     keyed, depth, keys, width = texts.mapInArrow(lambda it: _initial(it, qgram, parts), wn.SCHEMA), qgram, 1, _TAIL
     while depth < length:
         step = min(depth, length - depth)
         found = keyed.groupBy("part").applyInArrow(_bucketing(keys, width), wn.SCHEMA)
-        keyed = found.groupBy("seg").applyInArrow(_pointing(step, parts), wn.SCHEMA)
+        keyed = found.groupBy("seg").applyInArrow(_pointing(step, parts, depth + step >= length), wn.SCHEMA)
         depth, keys, width = depth + step, 2, 8
     return materialize(wn.window_spans(keyed, length, (8, 8), later_only=False), "suffix-spans")[0]
