@@ -92,6 +92,20 @@ def chunks_of(offs: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int,
         i = j
 
 
+def at_blanks(buf: np.ndarray, limit: int | None = None) -> Iterator[np.ndarray]:
+    """A text's bytes in parts of about ``limit`` that end with a blank (the last need not)."""
+    limit, at = limit or CHUNK_BYTES, 0
+    while at < len(buf):
+        end = len(buf)
+        for near in range(at + limit, len(buf), 1 << 16):
+            blank = np.flatnonzero(buf[near : near + (1 << 16)] == 32)
+            if len(blank):
+                end = near + int(blank[0]) + 1
+                break
+        yield buf[at:end]
+        at = end
+
+
 def code_points(buf: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The code points of UTF-8 bytes, and the cuts (byte offsets) as offsets into them; what is no UTF-8 becomes U+FFFD."""
     if not len(buf) or buf.max() < 128:
@@ -166,8 +180,14 @@ def word_lists(col: pa.Array, fold: bool = True, cjk: bool = True) -> Iterator[p
     buf, offs = string_parts(col)
     null = col.is_null().to_numpy(zero_copy_only=False)
     for i, j in chunks_of(offs):
-        points, cut = code_points(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-        first, words = _list(points, cut, t)
+        own = buf[offs[i] : offs[j]]
+        if j == i + 1 and len(own) > 2 * CHUNK_BYTES:
+            # A long text is done part by part, so that memory does not grow with it.
+            parts = [_list(*code_points(x, np.array([0, len(x)])), t)[1].cast(pa.large_string()) for x in at_blanks(own)]
+            words = pa.concat_arrays(parts)
+            first = np.array([0, len(words)])
+        else:
+            first, words = _list(*code_points(own, offs[i : j + 1] - offs[i]), t)
         mask = pa.array(null[i:j]) if null[i:j].any() else None
         yield pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), words, mask=mask)
 

@@ -45,6 +45,17 @@ def test_words_in_chunks_and_slices(monkeypatch):
     assert [w for x in words.word_lists(pa.array(texts, pa.large_string())) for w in x.to_pylist()] == whole
 
 
+def test_long_texts_in_parts(monkeypatch):
+    rng = random.Random(2)
+    text = " ".join(rng.choice(["é", "word", "a\x00b", "中x", "!?", "x" * 300]) for _ in range(3000))
+    whole = split([text, "y", text[:700]])
+    monkeypatch.setattr(words, "CHUNK_BYTES", 1000)
+    monkeypatch.setattr(words.chunks_of, "__defaults__", (1000,))
+    assert len(list(words.at_blanks(words.string_parts(pa.array([text]))[0]))) > 50
+    assert split([text, "y", text[:700]]) == whole
+    assert split(["x" * 5000]) == [["x" * 5000]]
+
+
 def test_bytes_that_are_no_utf8():
     bad = pa.array([b"ok \xff\xfe x", b"\xc3", "é".encode()], pa.binary())
     col = pa.Array.from_buffers(pa.string(), 3, bad.buffers())
