@@ -67,11 +67,16 @@ def word_chunks(text: Column, size: int = CHUNK) -> Column:
 
 
 def encode_chunked(docs: DataFrame, vocab: Vocab, text_col: str = "text", id_col: str = "doc_id", size: int = CHUNK, **options) -> DataFrame:
-    """(doc_id, ids): encode_raw() of long texts, chunk by chunk over all tasks, in the order of the text.
+    """(doc_id, ids): encode_raw() of texts; the chunks of those longer than ``size`` are spread over all tasks.
 
-    Equal to encode_raw() of the whole text.  Rows must have unique ids; only the
-    ids of tokens are shuffled for putting them together.
+    Equal to encode_raw() of the whole text.  Rows must have unique ids.  Short texts
+    are encoded where they are read; of long ones the chunks are shuffled, and their
+    ids for putting them together.
     """
-    parts = docs.select(id_col, F.posexplode_outer(word_chunks(F.col(text_col), size)).alias("chunk_index", "chunk"))
+    long = F.coalesce(F.length(text_col) > size, F.lit(False))
+    short = docs.where(~long).select(id_col, enc.encode_raw(F.col(text_col), vocab, **options).alias("ids"))
+    parts = docs.where(long).select(id_col, F.posexplode(word_chunks(F.col(text_col), size)).alias("chunk_index", "chunk"))
+    parts = parts.repartition(docs.sparkSession.sparkContext.defaultParallelism, id_col, "chunk_index")
     ids = parts.select(id_col, F.struct("chunk_index", enc.encode_raw(F.col("chunk"), vocab, **options).alias("ids")).alias("c"))
-    return ids.groupBy(id_col).agg(F.flatten(F.transform(F.array_sort(F.collect_list("c")), lambda c: F.coalesce(c["ids"], F.array().cast("array<int>")))).alias("ids"))
+    whole = ids.groupBy(id_col).agg(F.flatten(F.transform(F.array_sort(F.collect_list("c")), lambda c: c["ids"])).alias("ids"))
+    return short.union(whole)

@@ -101,7 +101,7 @@ def decode_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunked_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = chunks.encode_chunked(_table(spark, sf_dir, "documents"), load_vocab(), size=1000)
+    out = chunks.encode_chunked(_table(spark, sf_dir, "documents"), load_vocab(), size=16 * 1024)
     return out.select("doc_id", _joined("ids").alias("ids"))
 
 
