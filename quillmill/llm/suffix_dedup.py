@@ -30,7 +30,7 @@ from . import windows as wn
 from .shared import materialize
 
 #: Words of the initial buckets' q-gram.
-QGRAM = 25
+QGRAM = 13
 #: Words that a repeat has at least.
 LENGTH = 50
 _TAIL = 5
