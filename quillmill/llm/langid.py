@@ -93,7 +93,25 @@ class Model:
     weights: np.ndarray
     alphas: np.ndarray
 
+    def _long_margins(self, buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """margins() of one long text, part by part: the sums over its grams add up."""
+        code = _CODE[buf].astype(np.uint8)
+        keep = np.append(True, (code[1:] != 0) | (code[:-1] != 0))
+        code = code[keep]
+        n, total = len(code), np.zeros(len(self.weights))
+        for a in range(0, n, tk.BLOCK):
+            c = np.zeros(min(tk.BLOCK, n - a) + 2, np.int32)
+            part = code[a : a + len(c)]
+            c[: len(part)] = part
+            one, two = c[:-2], c[:-2] * 64 + c[1:-1]
+            three = two * 64 + c[2:] + (64 + 4096)
+            two += 64
+            total += [float((w[one].astype(np.float64) + w[two] + w[three]).sum()) for w in self.weights]
+        return (total / n * (min(n, 180) / 6.0))[None], np.array([np.count_nonzero(code)])
+
     def margins(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if len(offs) == 2 and len(buf) > tk.BLOCK:
+            return self._long_margins(buf)
         grams, letters = features(buf, offs)
         doc, n = grams[3], len(offs) - 1
         count = np.maximum(np.bincount(doc, minlength=n), 1)

@@ -8,16 +8,18 @@ similarity s meets in some table with probability (1 - (1 - s**rows)**side)**2:
 0.945 at s = 0.6, 0.991 at 0.7 and 0.9996 at 0.8 with the defaults.
 
 Every candidate that decides a group is verified by the exact Jaccard
-similarity of its shingle sets.  Inside a bucket each member is compared with
-the bucket's first one; members that this does not settle are compared with the
-others of their buckets that are not in their group yet.  Of these, pairs are left
-out that cannot be similar: their sizes differ too much, or their distances to the
-first one do (the Jaccard distance obeys the triangle inequality).  So the groups
+similarity of its shingle sets.  Inside a bucket the members that one task reads are
+compared with the first of them, and these firsts, which alone are shuffled, with the
+first of all: a bucket of a third of all rows is a row a task.  Members that this does
+not settle are compared with the others of their buckets that are not in their group
+yet.  Of these, pairs are left out that cannot be similar: their sizes differ too
+much, or their distances to the same first one do (the Jaccard distance obeys the
+triangle inequality).  So the groups
 are the connected components of *all* verified candidate pairs, with no cap on the
 size of a bucket and without listing the pairs of a large group of copies.
 
-No text is shuffled: shingle sets are made where a document is read, for those that
-a Bloom filter of the candidates' ids lets through.
+No text is shuffled: shingle sets are made where a document is read, for those whose
+ids are candidates (or that a Bloom filter of these lets through, where they are many).
 """
 
 from __future__ import annotations
@@ -36,6 +38,8 @@ SHINGLE = 3
 ROWS = 2
 SIDE = 8
 THRESHOLD = 0.6
+#: Documents whose buckets a task puts together at once.
+TOGETHER = 1 << 13
 #: Ids that are dropped by a broadcast (8 bytes each); more than these by a merge join.
 BROADCAST_IDS = 1_000_000
 
@@ -76,6 +80,46 @@ def _signatures(batches, k: int, rows: int, side: int):
             )
 
 
+def tensor(keys: np.ndarray) -> np.ndarray:
+    """(documents, side ** 2) table keys of (documents, 2 * side) half keys: every pair of a first and a second one."""
+    side = keys.shape[1] // 2
+    table = np.arange(side * side, dtype=np.uint64).reshape(side, side)
+    both = tk.mix(keys[:, :side, None] + np.uint64(0x9E3779B97F4A7C15)) + keys[:, None, side:]
+    return tk.mix(both + table * np.uint64(0xD6E8FEB86659FD93)).reshape(len(keys), side * side)
+
+
+def _own_buckets(batches, others: bool):
+    """doc_id, keys -> key, rep, doc_id of the members of this task's buckets but the first ones (``others``), or key, doc_id of the first ones."""
+
+    def out(docs: np.ndarray, halves: np.ndarray) -> pa.RecordBatch:
+        order = np.argsort(docs, kind="stable")
+        docs, all_keys = docs[order], tensor(halves[order])
+        key, doc = all_keys.ravel(), np.repeat(docs, all_keys.shape[1])
+        s = np.sort(key)
+        again = np.unique(s[1:][s[1:] == s[:-1]])
+        own = np.flatnonzero(again[np.minimum(np.searchsorted(again, key), len(again) - 1)] == key) if len(again) else np.zeros(0, np.int64)
+        at = own[np.argsort(key[own], kind="stable")]  # in a bucket, ids ascend
+        new = np.append(True, key[at][1:] != key[at][:-1])[: len(at)]
+        first = at[np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))]
+        if others:
+            at, first = at[doc[at] != doc[first]], first[doc[at] != doc[first]]
+            return pa.RecordBatch.from_arrays([pa.array(key[at].view(np.int64)), pa.array(doc[first]), pa.array(doc[at])], ["key", "rep", "doc_id"])
+        alone = np.ones(len(key), bool)
+        alone[at[~new]] = False
+        return pa.RecordBatch.from_arrays([pa.array(key[alone].view(np.int64)), pa.array(doc[alone])], ["key", "doc_id"])
+
+    held, n = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append((batch.column(0).to_numpy(), batch.column(1).flatten().to_numpy().view(np.uint64).reshape(batch.num_rows, -1)))
+            n += batch.num_rows
+        if n >= TOGETHER:
+            yield out(*(np.concatenate(x) for x in zip(*held)))
+            held, n = [], 0
+    if held:
+        yield out(*(np.concatenate(x) for x in zip(*held)))
+
+
 def _bucket_members(batches):
     """key, doc_id (sorted) -> key, rep, doc_id of each bucket's members but the first, which is rep; a bucket of any size is streamed."""
     last, rep = None, 0
@@ -93,10 +137,9 @@ def _bucket_members(batches):
         yield pa.RecordBatch.from_arrays([pa.array(key[other]), pa.array(first[other]), pa.array(doc[other])], ["key", "rep", "doc_id"])
 
 
-def _shingle_sets(batches, k: int, words: np.ndarray):
-    """doc_id, __text -> doc_id and its sorted distinct shingle hashes as bytes, for what the Bloom filter lets through."""
+def _shingle_sets(batches, k: int):
+    """doc_id, __text -> doc_id and its sorted distinct shingle hashes as bytes."""
     for batch in batches:
-        batch = batch.filter(pa.array(bloom.might_hold(words, batch.column(0).to_numpy())))
         ids = batch.column(0)
         for words in tk.word_chunks(batch.column(1)):
             sh, offs = tk.shingles(words, k)
@@ -131,8 +174,8 @@ def _sets_of(docs: DataFrame, pairs: DataFrame, k: int) -> tuple[DataFrame, str]
     """Shingle sets of the documents in pairs (a, b), and of a few others."""
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
     ids, path = materialize(ids, "near-candidates")
-    words = docs.sparkSession.sparkContext.broadcast(bloom.build(ids, ids.count()))
-    sets = materialize(docs.mapInArrow(lambda it: _shingle_sets(it, k, words.value), "doc_id long, shingles binary"), "near-shingles")
+    some = bloom.only(docs, ids, ids.count(), "doc_id")
+    sets = materialize(some.mapInArrow(lambda it: _shingle_sets(it, k), "doc_id long, shingles binary"), "near-shingles")
     remove(docs.sparkSession, path)
     return sets
 
@@ -183,34 +226,41 @@ def near_duplicates(
         sig.select("doc_id", *seq).join(table.select(*seq, F.col("doc_id").alias("keep_id")), seq).where("doc_id != keep_id").select("doc_id", "keep_id").distinct(), "near-copies"
     )
     remove(spark, sig_path)
-    # Tables of pairs of keys.  In a bucket, each member is a candidate of the smallest.
-    tensor = F.flatten(F.transform(F.slice("keys", 1, side), lambda x: F.transform(F.slice("keys", side + 1, side), lambda y: F.xxhash64(x, y))))
-    bucket = table.select("doc_id", F.posexplode(tensor).alias("__t", "__h")).select("doc_id", F.xxhash64("__h", "__t").alias("key"))
-    sorted_ = bucket.select("key", "doc_id").repartition("key").sortWithinPartitions("key", "doc_id")
-    members, members_path = materialize(sorted_.mapInArrow(_bucket_members, "key long, rep long, doc_id long"), "near-buckets")
+    # Tables of pairs of keys: what a task has of a bucket, and the first ones of all tasks.
+    half = table.select("doc_id", "keys")
+    local = half.mapInArrow(lambda it: _own_buckets(it, True), "key long, rep long, doc_id long")
+    firsts = half.mapInArrow(lambda it: _own_buckets(it, False), "key long, doc_id long").repartition("key").sortWithinPartitions("key", "doc_id")
+    members, members_path = materialize(local.union(firsts.mapInArrow(_bucket_members, "key long, rep long, doc_id long")), "near-buckets")
     star = members.select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct()
     sets, sets_path = _sets_of(texts, star, shingle)
     checked, checked_path = _verified(sets, star)
     good = checked.where(F.col("jaccard") >= threshold).select("a", "b")
     used = [first_path, members_path, sets_path, checked_path, copies_path]
-    # Members that their bucket's first one does not resemble: compared with the others there.
+    # Members that this leaves outside of the group of their bucket's first one: compared with the others there.
     if not checked.where(F.col("jaccard") < threshold).isEmpty():
         settled, settled_path = components(good)
         # An id with several texts has the bounds of all of them.
-        scores = checked.groupBy("a", "b").agg(*[f(c).alias(f"{n}_{c}") for c in ("jaccard", "size") for n, f in (("lo", F.min), ("hi", F.max))])
-        scored = members.join(scores, (members["rep"] == scores["a"]) & (members["doc_id"] == scores["b"])).select("key", "doc_id", "lo_jaccard", "hi_jaccard", "lo_size", "hi_size")
-        x = scored.where(F.col("lo_jaccard") < threshold).alias("x")
-        y = scored.alias("y")
-        apart = F.greatest(F.col("x.lo_jaccard") - F.col("y.hi_jaccard"), F.col("y.lo_jaccard") - F.col("x.hi_jaccard")) > 1 - threshold + 1e-9
+        scores = checked.groupBy(F.col("a").alias("rep"), F.col("b").alias("doc_id")).agg(*[f(c).alias(f"{n}_{c}") for c in ("jaccard", "size") for n, f in (("lo", F.min), ("hi", F.max))])
+        unknown = [F.lit(None).cast("double").alias(f"{n}_jaccard") for n in ("lo", "hi")] + [F.lit(None).cast("long").alias(f"{n}_size") for n in ("lo", "hi")]
+        top = members.groupBy("key").agg(F.min("rep").alias("doc_id"))
+        rows = members.join(scores, ["rep", "doc_id"]).select("key", "rep", "doc_id", "lo_jaccard", "hi_jaccard", "lo_size", "hi_size")
+        rows = rows.union(top.select("key", F.col("doc_id").alias("rep"), "doc_id", *unknown))
+        roots = settled.select(F.col("node").alias("doc_id"), "root")
+        rows = rows.join(roots, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+        first = top.join(roots, "doc_id", "left").select("key", F.coalesce("root", "doc_id").alias("top"))
+        rows, rows_path = materialize(rows.join(first, "key").withColumn("out", F.col("root") != F.col("top")).drop("top"), "near-rows")
+        x = rows.where("out").alias("x")
+        y = rows.join(rows.where("out").select("key").distinct(), "key", "left_semi").alias("y")
+        apart = (F.col("x.rep") == F.col("y.rep")) & (F.greatest(F.col("x.lo_jaccard") - F.col("y.hi_jaccard"), F.col("y.lo_jaccard") - F.col("x.hi_jaccard")) > 1 - threshold + 1e-9)
         uneven = (F.col("x.hi_size") < threshold * F.col("y.lo_size") - 1e-9) | (F.col("y.hi_size") < threshold * F.col("x.lo_size") - 1e-9)
-        twice = (F.col("y.lo_jaccard") < threshold) & (F.col("x.doc_id") > F.col("y.doc_id"))
-        more = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.doc_id") != F.col("y.doc_id")) & ~apart & ~uneven & ~twice)
+        twice = F.col("y.out") & (F.col("x.doc_id") > F.col("y.doc_id"))
+        no = lambda c: ~F.coalesce(c, F.lit(False))  # noqa: E731  # what is not known rules nothing out
+        more = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & no(apart) & no(uneven) & ~twice)
         more = more.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
-        root = lambda c: settled.select(F.col("node").alias(c), F.col("root").alias(f"__{c}"))
-        more = more.join(root("a"), "a", "left").join(root("b"), "b", "left").where(F.coalesce("__a", "a") != F.coalesce("__b", "b")).select("a", "b")
+        more = more.join(star, ["a", "b"], "left_anti")  # verified already
         second, second_path = _verified(sets, more)  # all of them are in star, too
         good = good.union(second.where(F.col("jaccard") >= threshold).select("a", "b"))
-        used += [settled_path, second_path]
+        used += [settled_path, rows_path, second_path]
     links, links_path = materialize(good.union(copies.select(F.col("keep_id").alias("a"), F.col("doc_id").alias("b"))).distinct(), "near-links")
     near, near_path = components(links)
     ends = links.select(F.col("a").alias("doc_id")).union(links.select(F.col("b").alias("doc_id"))).groupBy("doc_id").agg(F.count("*").alias("n_links"))

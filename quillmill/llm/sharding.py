@@ -23,7 +23,7 @@ from .shared import materialize, remove
 
 N_SHARDS = 64
 #: A source is split into 16 ** HEX_DIGITS atomic groups.
-HEX_DIGITS = 2
+HEX_DIGITS = 3
 PROBES = 32
 _BLOCK = 1 << 16
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.shared import new_path, shared_dir
 
-__all__ = ["free_name", "live", "materialize", "new_path", "put_bytes", "remove", "shared_dir"]
+__all__ = ["free_name", "get_bytes", "list_names", "live", "materialize", "new_path", "put_bytes", "remove", "shared_dir"]
 
 #: Paths of the tables that this session wrote and has not removed.
 _LIVE: dict[str, None] = {}
@@ -63,3 +63,19 @@ def put_bytes(spark: SparkSession, path: str, data: bytes) -> None:
             out.write(bytearray(data[i : i + (1 << 24)]))
     finally:
         out.close()
+
+
+def get_bytes(spark: SparkSession, path: str) -> bytes:
+    """One small file, read through Hadoop's file system."""
+    fs, p = _fs(spark, path)
+    source = fs.open(p)
+    try:
+        return bytes(source.readAllBytes())
+    finally:
+        source.close()
+
+
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of what is in a folder; none if it isn't there."""
+    fs, p = _fs(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []

@@ -28,8 +28,10 @@ _P_WORD = 0xD6E8FEB86659FD93
 _P_WORD2 = 0xA0761D6478BD642F
 _MASK = (1 << 64) - 1
 _TABLES: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: Bytes, or words, of a long document that are hashed at once.
+BLOCK = 1 << 20
 #: Powers that a worker keeps at most (16 bytes each); those of a longer text go with it.
-KEPT = 1 << 22
+KEPT = 1 << 21
 
 
 def lowered(text: Column | str) -> Column:
@@ -119,6 +121,8 @@ def words_of(buf: np.ndarray, offs: np.ndarray, lo: int) -> Words:
     """Find and hash the words of the documents that ``offs`` cuts ``buf`` into."""
     n = len(buf)
     bounds = offs - offs[0]
+    if n > BLOCK and len(offs) == 2:
+        return _long_words(buf, lo)
     if n == 0:
         z = np.zeros(0, np.int64)
         return Words(lo, z.astype(np.uint64), z, z, np.zeros(len(offs), np.int64), buf)
@@ -141,6 +145,26 @@ def words_of(buf: np.ndarray, offs: np.ndarray, lo: int) -> Words:
     return Words(lo, h, start, end, np.searchsorted(start, bounds), buf)
 
 
+def _long_words(buf: np.ndarray, lo: int) -> Words:
+    """words_of() one long document, part by part between words: a word's hash does not depend on where it lies."""
+    parts, at = [], 0
+    while at < len(buf):
+        end = len(buf)
+        for near in range(at + BLOCK // 2, len(buf), 1 << 16):
+            gap = np.flatnonzero(~_IS_WORD[buf[near : near + (1 << 16)]])
+            if len(gap):
+                end = near + int(gap[0]) + 1
+                break
+        if end - at > BLOCK:  # a word of this length
+            at_once = words_of(buf[at:end], np.array([0, 0, end - at]), lo)
+        else:
+            at_once = words_of(buf[at:end], np.array([0, end - at]), lo)
+        parts.append((at_once.hashes, at_once.start + at, at_once.end + at))
+        at = end
+    h, start, end = (np.concatenate(x) for x in zip(*parts))
+    return Words(lo, h, start, end, np.array([0, len(h)]), buf)
+
+
 def word_chunks(col: pa.Array) -> Iterator[Words]:
     """Words of all documents of a column, a chunk of documents at a time."""
     buf, offs = string_parts(col)
@@ -153,12 +177,15 @@ def gram_hashes(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     n = len(words.hashes)
     if n < k:
         return np.zeros(n, np.uint64), np.zeros(n, bool)
-    power, inverse = _powers(_P_WORD, n + 1)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(words.hashes * power[:n], out=sums[1:])
     out = np.zeros(n, np.uint64)
-    m = n - k + 1
-    out[:m] = mix((sums[k:] - sums[:m]) * inverse[:m] + np.uint64(k))
+    size = BLOCK + k - 1
+    power, inverse = _powers(_P_WORD, min(n, size) + 1)
+    for a in range(0, n - k + 1, BLOCK):  # a gram's hash does not depend on where it lies
+        h = words.hashes[a : a + size]
+        m = len(h) - k + 1
+        sums = np.zeros(len(h) + 1, np.uint64)
+        np.cumsum(h * power[: len(h)], out=sums[1:])
+        out[a : a + m] = mix((sums[k:] - sums[:m]) * inverse[:m] + np.uint64(k))
     last = np.repeat(words.doc_start[1:], np.diff(words.doc_start))
     return out, np.arange(n) + k <= last
 

@@ -66,6 +66,22 @@ def test_winnowing_guarantee():
         assert sets[0] & sets[1]
 
 
+def test_long_documents_in_parts(monkeypatch):
+    """Words and grams are the same, however a document is cut for hashing."""
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(["alpha", "be-ta", "é", "x" * 90]) for _ in range(2000)), "y" * 9000, "!" * 3000, "a b"]
+    whole = [(w.lo, w.hashes, w.start, w.end, w.doc_start, *(tk.gram_hashes(w, k)[0] for k in (1, 5, 50))) for w in tk.word_chunks(pa.array(texts))]
+    monkeypatch.setattr(tk.chunks_of, "__defaults__", (1000,))
+    cut = {w.lo: (w.hashes, tk.gram_hashes(w, 5)[0]) for w in tk.word_chunks(pa.array(texts))}
+    monkeypatch.setattr(tk, "BLOCK", 700)
+    got = {w.lo: (w.hashes, tk.gram_hashes(w, 5)[0], w.start, w.end) for w in tk.word_chunks(pa.array(texts))}
+    assert sorted(got) == sorted(cut) and len(whole) == 1
+    for lo, (h, g, a, b) in got.items():
+        assert (h == cut[lo][0]).all() and (g == cut[lo][1]).all() and (b > a).all()
+
+
 # --- 1: URL filter ---
 
 
@@ -86,8 +102,10 @@ def test_url_filter(spark):
     assert url_filter.filter_urls(pages.limit(0), none).count() == 0
 
 
-def test_digest_array_confirms_strings(tmp_path):
-    """Equal keys of different strings, also across files, are told apart."""
+@pytest.mark.parametrize("most", [1, 16])
+def test_digest_array_confirms_strings(tmp_path, monkeypatch, most):
+    """Equal keys of different strings, also across files, are told apart; files are let go and opened again."""
+    monkeypatch.setattr(url_filter, "MAX_OPEN", most)
     import pyarrow as pa
 
     paths = []
@@ -99,7 +117,9 @@ def test_digest_array_confirms_strings(tmp_path):
     digests = url_filter.DigestArray(tuple(paths), np.array([1, 5], np.int64))
     keys = np.array([1, 5, 5, 5, 5, 9, 9, 0, 7], np.int64)
     names = pa.array(["a", "b", "c", "d", "x", "e", "z", "a", "c"])
-    assert digests.lookup(keys, names).tolist() == [True, True, True, True, False, True, False, False, False]
+    for _ in range(2):
+        assert digests.lookup(keys, names).tolist() == [True, True, True, True, False, True, False, False, False]
+    assert len(url_filter._OPEN) <= most
 
 
 # --- 2: decontamination ---
@@ -193,8 +213,11 @@ def test_decontamination_short_and_long_items_against_brute_force(spark):
 # --- 3 and 10: repeated passages ---
 
 
-@pytest.mark.parametrize("batches", [1, 4])
-def test_substring_index(spark, batches):
+@pytest.mark.parametrize("batches, most", [(1, 1000), (4, 1000), (3, 0)])
+def test_substring_index(spark, batches, most, monkeypatch):
+    from quillmill.llm import bloom
+
+    monkeypatch.setattr(bloom, "BROADCAST_IDS", most)
     docs, rows = awkward_docs(spark, passages())
     got = sorted(tuple(r) for r in substring_index.incremental_duplicates(docs, length=10, window=5, batches=batches).collect())
     assert got == brute.repeated_spans(rows, 10, True) != []
@@ -220,16 +243,50 @@ def test_repeats_of_the_corpus(spark, monkeypatch):
     assert got == brute.repeated_spans(rows, 50, False) != []
 
 
-def test_index_keeps_sorted_runs(spark):
-    index = substring_index.FingerprintIndex(spark, 10, 5, buckets=4, max_runs=3)
-    texts = spark.createDataFrame(passages(), "doc_id long, __text string").withColumn("__text", F.lower("__text"))
-    for i in range(4):
-        index.add(texts.where(F.col("doc_id") % 4 == i))
-        for name, _ in index.runs:
-            part = spark.table(name).select("h", F.input_file_name().alias("p"), F.monotonically_increasing_id().alias("i")).orderBy("i").collect()
+def test_index_over_two_sessions(spark, tmp_path):
+    """Batches added in two sessions, each verified as it comes, give what brute force gives; runs are sorted and compacted in tiers."""
+    rows = sorted({(i, t) for i, t in passages(5, 60) if i != 3})
+    cuts = [0, 11, 20, 31, 39, 48, 70, 1000]
+    read = lambda s, lo, hi: s.createDataFrame([r for r in rows if lo <= r[0] < hi], "doc_id long, text string").select("doc_id", tk.lowered("text").alias("__text"))
+    index, got = substring_index.FingerprintIndex.create(spark, f"file://{tmp_path}/index", 10, 5, buckets=4, fanout=2), []
+    for k, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
+        if k == 3:  # another session knows no more than the folder
+            index.close()
+            session = spark.newSession()
+            index = substring_index.FingerprintIndex.open(session, f"file://{tmp_path}/index")
+        own = index.spark
+        found = [tuple(r) for r in index.add(read(own, lo, hi), read(own, 0, lo)).collect()]
+        assert sorted(found) == [s for s in brute.repeated_spans([r for r in rows if r[0] < hi], 10, True) if s[0] >= lo]
+        got += found
+        levels = [r["level"] for r in index.runs]
+        assert len(levels) == len(set(levels)) == bin(k + 1).count("1")
+        for r in index.runs:
+            part = index.table(r["name"]).select("h", F.input_file_name().alias("p"), F.monotonically_increasing_id().alias("i")).orderBy("i").collect()
             assert all(a["h"] <= b["h"] for a, b in zip(part, part[1:]) if a["p"] == b["p"])
-    assert len(index.runs) < 3
-    index.close()
+    assert sorted(got) == brute.repeated_spans(rows, 10, True) != []
+    with pytest.raises(ValueError, match="above"):
+        index.add(read(own, 0, 5))
+    assert index.add(read(own, 5000, 6000)).count() == 0
+    plan = index.table(index.runs[0]["name"]).hint("merge").join(index.table(index.runs[1]["name"]).select("h"), "h", "left_semi")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange hashpartitioning" not in plan
+    index.delete()
+    with pytest.raises(ValueError, match="no index"):
+        substring_index.FingerprintIndex.open(spark, f"file://{tmp_path}/index")
+
+
+def test_passage_of_every_document(spark, monkeypatch):
+    """One passage in all documents leaves a segment once, however many of its documents have it."""
+    rng = random.Random(8)
+    shared_words = " ".join(f"s{i}" for i in range(60))
+    rows = [(i, " ".join(f"x{rng.randrange(10**6)}" for _ in range(rng.randrange(20))) + f" {shared_words} " + " ".join(f"y{rng.randrange(10**6)}" for _ in range(rng.randrange(20)))) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    assert sorted(tuple(r) for r in suffix_dedup.repeated_substrings(docs).collect()) == brute.repeated_spans(rows, 50, False)
+    assert sorted(tuple(r) for r in substring_index.incremental_duplicates(docs).collect()) == brute.repeated_spans(rows, 50, True)
+    texts = docs.select("doc_id", tk.lowered("text").alias("t"))
+    sent = texts.mapInArrow(lambda it: suffix_dedup._initial(it, 25, 3), wn.SCHEMA).where("part >= 0").collect()
+    total = sum(len(wn.unpack_sorted(r["c"])) for r in sent)
+    windows = sum(max(0, len(brute.words(t)) - 24) for _, t in rows)
+    assert total <= windows - 36 * (400 - 2)  # of the passage's 36 inner windows one for each segment
 
 
 # --- 4: sharding ---
@@ -400,6 +457,20 @@ def test_language_id_against_brute_force(spark):
         assert mine["ambiguous"] == (mine["gap"] < langid.MIN_GAP) or abs(gap - langid.MIN_GAP) < 1e-3
 
 
+def test_language_id_of_long_texts(spark, monkeypatch):
+    """Part by part or at once, a text has the same margins."""
+    import pyarrow as pa
+
+    model = langid.train(documents(spark))
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice(["der", "the", "é!!", "x  y", "los"]) for _ in range(3000)) + end for end in ("", " ", "a", "!!")]
+    once = [model.predict(pa.array([t]), 0.5) for t in texts]
+    monkeypatch.setattr(tk, "BLOCK", 501)
+    for t, (langs, gap, _) in zip(texts, once):
+        got = model.predict(pa.array([t]), 0.5)
+        assert got[0] == langs and got[1] == pytest.approx(gap, rel=1e-5)
+
+
 def test_language_id_sample(spark):
     """Null ids and copies change neither what is learned from nor how much of it; without labels nothing is dropped."""
     words = {"de": "der die das und nicht wird auch mit sich", "en": "the and that with this have from they which"}
@@ -578,7 +649,11 @@ def test_near_duplicates_recall(spark):
     assert sum(got.get(d) == k for d, k in want.items()) >= 0.9 * len(want)
 
 
-def test_near_duplicates_awkward(spark):
+@pytest.mark.parametrize("most", [0, 1000])
+def test_near_duplicates_awkward(spark, most, monkeypatch):
+    from quillmill.llm import bloom
+
+    monkeypatch.setattr(bloom, "BROADCAST_IDS", most)
     rng = random.Random(9)
     base = [f"w{rng.randrange(10_000)}" for _ in range(200)]
     texts = [(10, " ".join(base)), (11, " ".join(base[:100] + ["changed"] + base[101:])), (12, " ".join(base).upper()), (13, " ".join(f"z{i}" for i in range(200)))]
@@ -627,6 +702,29 @@ def test_hot_bucket_of_unlike_members(spark, monkeypatch):
     assert sorted(r["doc_id"] for r in near_dedup.drop_near_duplicates(docs).collect()) == few
 
 
+@pytest.mark.parametrize("tasks", [1, 6])
+def test_buckets_of_tasks_and_of_all(spark, tasks, monkeypatch):
+    """Whatever documents a task reads, candidates connect each bucket, and each bucket's firsts alone are shuffled."""
+    rng = np.random.default_rng(2)
+    halves = rng.integers(0, 3, (200, 6))
+    rows = [(int(i), [int(v) for v in halves[i]]) for i in rng.permutation(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, keys array<long>").repartition(tasks, "doc_id")
+    local = docs.mapInArrow(lambda it: near_dedup._own_buckets(it, True), "key long, rep long, doc_id long").collect()
+    firsts = docs.mapInArrow(lambda it: near_dedup._own_buckets(it, False), "key long, doc_id long").collect()
+    keys = near_dedup.tensor(halves.astype(np.uint64)).view(np.int64)
+    assert len(local) + len(firsts) == keys.size and keys.shape == (200, 9)
+    buckets = {}
+    for i in range(200):
+        for k in keys[i].tolist():
+            buckets.setdefault(k, set()).add(i)
+    assert len(buckets) == 9 * 9  # each table has the pairs of 3 values
+    for k, held in buckets.items():
+        own = [r for r in local if r["key"] == k]
+        top = {r["doc_id"] for r in firsts if r["key"] == k}
+        assert top | {r["doc_id"] for r in own} == held and {r["rep"] for r in own} <= top and len(top) <= tasks
+        assert all(r["rep"] < r["doc_id"] for r in own)
+
+
 def test_bloom_filter_has_all_its_ids(spark):
     from quillmill.llm import bloom
 

@@ -23,7 +23,7 @@ def test_pipeline_against_brute_force(spark):
     served = brute.fair_queue([(i, rows[i]["text"], rows[i]["source"]) for i in kept], corpus_pipeline.WEIGHTS, 0.6, lambda d: hashlib.md5(f"42:{d}".encode()).hexdigest())
     got = corpus_pipeline.run(spark, SF).collect()
     assert {r["doc_id"] for r in got} == {d for d, _, _, _ in served} and len(got) == len(served)
-    group = lambda r: f"1{r['source']}/{hashlib.md5(str(r['doc_id']).encode()).hexdigest()[:2]}"
+    group = lambda r: f"1{r['source']}/{hashlib.md5(str(r['doc_id']).encode()).hexdigest()[: sharding.HEX_DIGITS]}"
     sizes, shard = {}, {}
     for r in got:
         sizes[group(r)] = sizes.get(group(r), 0) + len(rows[r["doc_id"]]["text"])
