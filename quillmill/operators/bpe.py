@@ -35,6 +35,8 @@ _REST = f"[^{SPACE}{_LETTER}{_NUMBER}]"
 PIECE = "|".join([*("'" + s for s in _SUFFIXES), *(f" ?{x}+" for x in (_LETTER, _NUMBER, _REST)), f"[{SPACE}]+(?![^{SPACE}])", f"[{SPACE}]+"])
 #: The same for mapped strings, where no white space is left (and for engines without look-ahead).
 MAPPED_PIECE = "|".join([*("'" + s for s in _SUFFIXES), f"{_LETTER}+", f"{_NUMBER}+", f"[^{_LETTER}{_NUMBER}]+"])
+#: Ids that are decoded at once.
+DECODED_IDS = 1 << 18
 #: Pieces that a worker remembers the ids of, and the longest of them.
 MEMO_PIECES, MEMO_LENGTH = 1 << 18, 256
 
@@ -135,17 +137,19 @@ class Mapped:
         kind = self.kind[buf]
         begins = np.ones(n, bool)
         begins[1:] = kind[1:] != kind[:-1]
-        end = np.repeat(cut[1:], np.diff(cut))
         heads = cut[:-1][cut[:-1] < n]
         begins[heads] = True
         at = np.flatnonzero(begins & (buf == ord("'")))
+        end = cut[np.searchsorted(cut, at, side="right")]
         for suffix in _SUFFIXES:
             k = len(suffix)
-            own = at[at + k < end[at]]
+            fits = at + k < end
+            own, last = at[fits], end[fits]
             for i, c in enumerate(suffix.encode()):
-                own = own[buf[own + 1 + i] == c]
+                same = buf[own + 1 + i] == c
+                own, last = own[same], last[same]
             begins[own + 1] = False
-            own = own[own + 1 + k < end[own]]
+            own = own[own + 1 + k < last]
             begins[own + 1 + k] = True
         return np.flatnonzero(begins)
 
@@ -283,14 +287,21 @@ def decode(ids: Column, vocab: BpeVocab) -> Column:
 
     @arrow_udf("binary")
     def bytes_of(batch: pa.Array) -> pa.Array:
-        flat = pc.fill_null(batch.flatten(), -1).to_numpy(zero_copy_only=False).astype(np.int64)
-        good = (flat >= 0) & (flat < len(raw))
-        flat = np.where(good, flat, 0)
-        size = np.where(good, start[flat + 1] - start[flat], 0)
-        run = np.append(0, np.cumsum(size))
-        out = data[np.repeat(start[flat] - run[:-1], size) + np.arange(run[-1])]
-        cut = run[np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(batch), 0).to_numpy(zero_copy_only=False)))]
-        found = pa.Array.from_buffers(pa.large_binary(), len(batch), [None, pa.py_buffer(cut.astype(np.int64)), pa.py_buffer(out)])
-        return pc.if_else(batch.is_null(), pa.scalar(None, pa.large_binary()), found).cast(pa.binary())
+        flat = batch.flatten()
+        lists = np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(batch), 0).to_numpy(zero_copy_only=False)))
+        cut, out, done = np.zeros(len(lists), np.int64), [], 0
+        # Some ids at a time, wherever lists end, so that memory is that of the batch and its bytes.
+        for a in range(0, len(flat), DECODED_IDS):
+            part = pc.fill_null(flat.slice(a, DECODED_IDS), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+            good = (part >= 0) & (part < len(raw))
+            part = np.where(good, part, 0)
+            size = np.where(good, start[part + 1] - start[part], 0)
+            run = np.append(0, np.cumsum(size))
+            out.append(data[np.repeat(start[part] - run[:-1], size) + np.arange(run[-1])])
+            i, j = np.searchsorted(lists, (a + 1, a + len(part) + 1))
+            cut[i:j] = done + run[lists[i:j] - a]
+            done += int(run[-1])
+        found = pa.Array.from_buffers(pa.large_binary(), len(batch), [None, pa.py_buffer(cut), pa.py_buffer(np.concatenate([np.zeros(0, np.uint8), *out]))])
+        return (pc.if_else(batch.is_null(), pa.scalar(None, pa.large_binary()), found) if batch.null_count else found).cast(pa.binary())
 
     return F.make_valid_utf8(bytes_of(ids).cast("string"))
