@@ -37,6 +37,8 @@ PIECE = "|".join([*("'" + s for s in _SUFFIXES), *(f" ?{x}+" for x in (_LETTER,
 MAPPED_PIECE = "|".join([*("'" + s for s in _SUFFIXES), f"{_LETTER}+", f"{_NUMBER}+", f"[^{_LETTER}{_NUMBER}]+"])
 #: Ids that are decoded at once.
 DECODED_IDS = 1 << 18
+#: The first private-use character.
+_FOLD_FROM = 0xE000
 #: Pieces that a worker remembers the ids of, and the longest of them.
 MEMO_PIECES, MEMO_LENGTH = 1 << 18, 256
 
@@ -264,18 +266,25 @@ def encode(text: Column, vocab: BpeVocab, mode: str = "reference") -> Column:
 
 
 def encode_fold(text: Column, vocab: BpeVocab, mode: str = "reference") -> Column:
-    """encode() without Python: one replacement for each merge, in rank order (for few merges that are ``ordered``)."""
+    """The tokens without Python: one replacement in the whole text for each merge, in rank order (for few merges that are ``ordered``)."""
     if not vocab.ordered():
         raise ValueError("these merges must be applied by lowest rank; use encode()")
-    open_, close = "", ""
-
-    def tokens(piece: Column) -> Column:
-        out = F.regexp_replace(piece, "(.)", f"{open_}$1{close}")
-        for a, b in vocab.merges:
-            out = F.replace(out, F.lit(f"{open_}{a}{close}{open_}{b}{close}"), F.lit(f"{open_}{a}{b}{close}"))
-        return F.regexp_extract_all(out, F.lit(f"{open_}([^{close}]*){close}"), F.lit(1))
-
-    return F.flatten(F.transform(pretokenize(text, mode), tokens))
+    # A token is one character while merging, of the private-use area where a merge made it; ``end`` keeps pieces apart.
+    taken = {c for m in vocab.merges for t in m for c in t}
+    free = (chr(c) for c in range(_FOLD_FROM if len(vocab.merges) + len(taken) < 0x1800 else 0xF0000, 0x110000) if chr(c) not in taken)
+    end = next(free)
+    code = dict(zip((a + b for a, b in vocab.merges), free))
+    whole = F.array_join(pretokenize(text, mode), end)
+    for a, b in vocab.merges:
+        whole = F.replace(whole, F.lit(code.get(a, a) + code.get(b, b)), F.lit(code[a + b]))
+    whole = F.replace(whole, F.lit(end), F.lit(""))
+    first = ord(end)
+    table = [""] * (max(map(ord, code.values()), default=first) - first + 1)
+    for token, c in code.items():
+        table[ord(c) - first] = token
+    made = F.array(*map(F.lit, table))
+    # An empty text is split to an empty string.
+    return F.array_remove(F.transform(F.split(whole, ""), lambda c: F.when(c > end, F.get(made, F.ascii(c) - first)).otherwise(c)), "")
 
 
 def decode(ids: Column, vocab: BpeVocab) -> Column:
